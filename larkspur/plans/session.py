@@ -52,3 +52,14 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a written table that may be broadcast.
+BROADCAST_ROWS = 400_000
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, with a hint to broadcast it if it has BROADCAST_ROWS at most; else as it is, for a shuffled join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
