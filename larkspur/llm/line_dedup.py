@@ -11,15 +11,16 @@ is met through its earliest line, so it costs its size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from larkspur.llm import tokens
-from larkspur.plans.session import written
+from larkspur.plans.session import broadcast_if_small, written
 
-_LINE = "line_no int, h1 long, h2 long, nw int, k0 long, k1 long, k2 long, k3 long"
+_LINE = "line_no int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long"
 _FOLD = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
 
@@ -50,34 +51,34 @@ def _rows(batch: pa.RecordBatch, min_words: int) -> Iterator[pa.RecordBatch]:
         h1 = tokens.mix(tokens.spans(sums, s, e) + n.astype(np.uint64))
         h2 = tokens.mix(tokens.spans(other, s, e) + n.astype(np.uint64))
         keys = []
-        for longer in (n, n + 1):  # the greater number of words of the two lines that may meet
-            half = longer // 2
-            for part, (b, t) in enumerate(((s, s + half), (e - (longer - half), e))):
-                ok = (t - b >= 0) & (b >= s) & (t <= e) & (n >= min_words)
-                key = tokens.mix(tokens.spans(sums, np.where(ok, b, s), np.where(ok, t, s)) + longer.astype(np.uint64) * np.uint64(4) + np.uint64(part))
-                keys.append(pa.array(tokens.signed(key), mask=~ok))
+        # lines that differ by a word are in one class of lengths, or n is the least of its own and also stands in the one below
+        for group, member in ((n // 4, n >= min_words), (n // 4 - 1, (n > min_words) & (n % 4 == 0))):
+            for part, (b, t) in enumerate(((s, s + 2 * group), (e - 2 * group, e))):
+                key = tokens.mix(tokens.spans(sums, np.where(member, b, s), np.where(member, t, s)) + (4 * group + part).astype(np.uint64))
+                keys.append(pa.array(tokens.signed(key), mask=~member))
         at = pa.array(owner + block.rows[0])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(at), batch.column("rid").take(at), pa.array(number.astype(np.int32)), pa.array(tokens.signed(h1)), pa.array(tokens.signed(h2)), pa.array(n.astype(np.int32)), *keys],
-            names=["doc_id", "rid", "line_no", "h1", "h2", "nw", "k0", "k1", "k2", "k3"],
+            [batch.column("doc_id").take(at), batch.column("rid").take(at), pa.array(number.astype(np.int32)), pa.array(tokens.signed(h1)), pa.array(tokens.signed(h2)), *keys],
+            names=["doc_id", "rid", "line_no", "h1", "h2", "k0", "k1", "k2", "k3"],
         )
 
 
 def _variants(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The deletion neighbourhood of each line of text, and the line itself; at: the place of the lost word, -1 for the pair of whole and shortened lines."""
+    """The deletion neighbourhood of each line, as far as its shared ends leave room for an edit; lost is the place of the word that is left out, -1 for the whole line."""
     for block in tokens.blocks(batch.column("line")):
-        sums, (s, e) = tokens.prefix_sums(block.words), (block.bounds[:-1], block.bounds[1:])
+        rows = slice(*block.rows)
+        head, tail = (batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in ("head", "tail"))
+        sums, s, e = tokens.prefix_sums(block.words), block.bounds[:-1], block.bounds[1:]
         n = e - s
         line = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(block.words)) - np.repeat(s, n)
-        here = np.arange(len(block.words))
+        end = 2 * ((n - 1) // 4)
+        wanted = head[line] & (place >= end[line]) | tail[line] & (place < (n - end)[line])
+        line, place, here = line[wanted], place[wanted], np.flatnonzero(wanted)
         rest = tokens.spans(sums, s[line], here) + tokens.spans(sums, here + 1, e[line]) * tokens.step_power(place)
-        lost = tokens.mix(rest + (n[line] - 1).astype(np.uint64))
-        whole = tokens.mix(tokens.spans(sums, s, e) + n.astype(np.uint64))
-        key = np.concatenate([lost + tokens.mix(place.astype(np.uint64) + np.uint64(1)), lost, whole])
-        kind = np.concatenate([np.zeros(len(lost), np.int8), np.ones(len(lost), np.int8), np.full(len(whole), 2, np.int8)])
-        own = pa.array(np.concatenate([line, line, np.arange(len(n))]) + block.rows[0])
-        yield pa.RecordBatch.from_arrays([pa.array(tokens.signed(key)), pa.array(kind), batch.column("h1").take(own), batch.column("h2").take(own)], names=["key", "kind", "h1", "h2"])
+        keys = tokens.mix(np.concatenate([rest + (n[line] - 1).astype(np.uint64), tokens.spans(sums, s, e) + n.astype(np.uint64)]))
+        own = pa.array(np.concatenate([line, np.arange(len(n))]) + block.rows[0])
+        yield pa.RecordBatch.from_arrays([pa.array(tokens.signed(keys)), pa.array(np.concatenate([place, np.full(len(n), -1)]).astype(np.int32)), batch.column("h1").take(own)], names=["key", "lost", "h1"])
 
 
 def _within_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +95,7 @@ def _within_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 j += 1
             keep.append(max(len(a), len(b)) - i - j <= 1)
         part = batch.filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([part.column("h1"), part.column("h2")], names=["h1", "h2"])
+        yield pa.RecordBatch.from_arrays([part.column("place")], names=["place"])
 
 
 def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
@@ -111,47 +112,52 @@ def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, at = batch.column("lines").flatten().to_numpy(), batch.column("lines").value_lengths().to_numpy()
+            own = batch.column("own")
+            at, fields = own.value_lengths().to_numpy(), own.flatten()
             owner, texts = np.repeat(np.arange(len(at)), at), batch.column("text").to_pylist()
             out, last, split = [], -1, []
-            for o, k in zip(owner, number, strict=True):
+            for o, k in zip(owner.tolist(), fields.field("line_no").to_pylist(), strict=True):
                 if o != last:
                     last, split = o, texts[o].split("\n")
                 out.append(split[k])
-            # the struct of h1 and h2 travels in the same order as lines
-            h1, h2 = batch.column("h1s").flatten(), batch.column("h2s").flatten()
-            yield pa.RecordBatch.from_arrays([h1, h2, pa.array(out, pa.string())], names=["h1", "h2", "line"])
-
-    lines = written(docs.select("doc_id", "rid", "text").mapInArrow(rows, f"doc_id {kind}, rid long, {_LINE}"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "line_no")
-    kinds = lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("nw").alias("nw"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4)))
-    kinds = written(kinds)
-    again = lines.join(kinds.select("h1", "h2", "place"), ["h1", "h2"]).where(place != F.col("place")).select("doc_id", "rid", "line_no")
-
-    # lines that share a half with another line
-    halves = kinds.where(F.col("nw") >= min_words).select("h1", "h2", "place", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("half"))
-    w = Window.partitionBy("half").orderBy("h1", "h2")
-    near = halves.where("half is not null").withColumns({"before": F.lag("h1").over(w), "after": F.lead("h1").over(w)}).where("before is not null or after is not null").select("h1", "h2", "place").distinct()
-    near = near.groupBy("place.doc_id", "place.rid").agg(F.sort_array(F.collect_list(F.struct("place.line_no", "h1", "h2"))).alias("own"))
-    near = near.select("doc_id", "rid", F.col("own.line_no").alias("lines"), F.col("own.h1").alias("h1s"), F.col("own.h2").alias("h2s"))
-    near = near.select(F.col("doc_id").alias("near_id"), F.col("rid").alias("near_rid"), "lines", "h1s", "h2s")
-    held = docs.join(near, docs["doc_id"].eqNullSafe(near["near_id"]) & (docs["rid"] == near["near_rid"])).select("text", "lines", "h1s", "h2s")
-    spelt = written(held.mapInArrow(spell, "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"]).join(kinds.select("h1", "h2", "place"), ["h1", "h2"]))
+            yield pa.RecordBatch.from_arrays([*(fields.field(c) for c in ("h1", "h2", "head", "tail")), pa.array(out, pa.string())], names=["h1", "h2", "head", "tail", "line"])
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _variants(batch)
 
-    keys = spelt.select("h1", "h2", "line").mapInArrow(variants, "key long, kind byte, h1 long, h2 long").join(spelt.select("h1", "h2", "place"), ["h1", "h2"])
-    keys = written(keys.withColumn("sub", F.col("kind") == 0))
-    spot = F.struct("place", "h1", "h2")
-    met = keys.groupBy("key", "sub").agg(F.count("*").alias("c"), F.min(F.when(F.col("kind") < 2, spot)).alias("short"), F.min(F.when(F.col("kind") == 2, spot)).alias("whole")).where("c > 1 and (sub or whole is not null and short is not null)").drop("c")
-    late = keys.join(met, ["key", "sub"]).withColumn("first", F.when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("short"))).where("first.place < place")
-    late = late.select("h1", "h2", F.col("first.h1").alias("o1"), F.col("first.h2").alias("o2")).distinct()
+    lines = written(docs.select("doc_id", "rid", "text").mapInArrow(rows, f"doc_id {kind}, rid long, {_LINE}"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "line_no")
+    kinds = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("c"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4))))
+    several = broadcast_if_small(written(kinds.where("c > 1").select("h1", "h2", "place")))
+    again = lines.join(several, ["h1", "h2"]).where(place != F.col("place")).select("doc_id", "rid", "line_no")
+
+    # lines that share their first or last half with another line
+    ends = F.array(*(F.struct(F.col(f"k{i}").alias("half"), F.lit(i % 2 == 0).alias("head")) for i in range(4)))
+    halves = kinds.where("k0 is not null").select("h1", F.explode(F.filter(ends, lambda x: x["half"].isNotNull())).alias("x")).select("h1", "x.half", "x.head")
+    shared = written(halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half"))
+    near = halves.join(broadcast_if_small(shared), "half").groupBy("h1").agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
+    near = written(near.join(kinds.select("h1", "h2", "place"), "h1"))
+    wanted = near.groupBy(F.col("place.doc_id").alias("own_id"), F.col("place.rid").alias("own_rid")).agg(F.sort_array(F.collect_list(F.struct("place.line_no", "h1", "h2", "head", "tail"))).alias("own"))
+    wanted = broadcast_if_small(written(wanted))
+    held = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"]) & (docs["rid"] == wanted["own_rid"])).select("text", "own")
+    spelt = written(held.mapInArrow(spell, "h1 long, h2 long, head boolean, tail boolean, line string").dropDuplicates(["h1", "h2"]))
+
+    keys = written(spelt.select("h1", "head", "tail", "line").mapInArrow(variants, "key long, lost int, h1 long"))
+    met = written(keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key"))
+    keys = keys.join(broadcast_if_small(met), "key").join(near.select("h1", "h2", "place"), "h1").withColumn("spot", F.struct("place", "h1", "h2"))
+    keys = written(keys.select("key", "lost", "spot"))
+    cut = keys.where("lost >= 0")
+    pairs = [
+        cut.join(cut.groupBy("key", "lost").agg(F.min("spot").alias("first")), ["key", "lost"]),
+        cut.join(keys.where("lost < 0").groupBy("key").agg(F.min("spot").alias("first")), "key"),
+        keys.where("lost < 0").join(cut.groupBy("key").agg(F.min("spot").alias("first")), "key"),
+    ]
+    late = reduce(DataFrame.unionByName, (p.where("first.place < spot.place").select("spot", "first") for p in pairs)).distinct()
+    late = late.select("spot.place", F.col("spot.h1").alias("h1"), F.col("spot.h2").alias("h2"), F.col("first.h1").alias("o1"), F.col("first.h2").alias("o2"))
     late = late.join(spelt.select("h1", "h2", "line"), ["h1", "h2"]).join(spelt.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other")), ["o1", "o2"])
-    late = late.select("h1", "h2", "line", "other").mapInArrow(_within_one, "h1 long, h2 long").distinct()
-    firsts = late.join(kinds.select("h1", "h2", "place"), ["h1", "h2"]).select("place.doc_id", "place.rid", "place.line_no")
-    return again.unionByName(firsts)
+    late = late.select("place", "line", "other").mapInArrow(_within_one, f"place struct<last:boolean,doc_id:{kind},rid:long,line_no:int>").distinct()
+    return again.unionByName(late.select("place.doc_id", "place.rid", "place.line_no"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
@@ -163,6 +169,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     keep = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped", "rid", "own_id", "own_rid", "gone"}]
     docs = docs.select(*keep).withColumn("rid", F.xxhash64("text"))
     gone = dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("own_id"), F.col("rid").alias("own_rid")).agg(F.collect_set("line_no").alias("gone"))
+    gone = broadcast_if_small(written(gone))
     out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["own_id"]) & (docs["rid"] == gone["own_rid"]), "left")
     lines = F.split("text", "\n", -1)
     left = F.expr("array_join(transform(filter(transform(split(text, '\n', -1), (l, i) -> struct(i as i, l as l)), x -> not array_contains(gone, x.i)), x -> x.l), '\n')")
