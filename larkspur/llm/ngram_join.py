@@ -4,7 +4,7 @@ Equal sets are one class from the start. Of every other set only the rarest colu
 two sets with a Jaccard similarity of t share at least one of their n - ceil(t * n) + 1 first columns, whatever
 the order, so columns that a sample shows to be frequent go last. Partial products carry how many overlaps are
 still possible from their place in either set, and pairs below the overlap that their sizes ask for are
-discarded. Pairs that are left are multiplied whole, in blocks of pairs.
+discarded. Pairs that are left are multiplied whole, a block of documents with one document at a time.
 
 A column is first multiplied with one document only, the one with the fewest rare columns. Only where that
 leaves more than one component are its other pairs tried, those across components. So a group of near copies
@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from larkspur.llm import tokens
 from larkspur.llm.components import components
-from larkspur.plans.session import written
+from larkspur.plans.session import broadcast_if_small, written
 
 #: Documents at most, about, whose n-grams tell which columns are frequent, and the number of these: they change the order of columns, never a result.
 SAMPLE_DOCS, FREQUENT = 5_000, 1 << 18
+#: Documents that are multiplied with another at once.
+BLOCK_ROWS = 1_000
 
 
 def _sets(block: tokens.Block, width: int) -> Iterator[np.ndarray]:
@@ -109,15 +111,17 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows = written(docs.mapInArrow(incidence, f"doc_id {kind}, n long, node long, rare long, firsts array<long>"))
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("firsts").alias("firsts"))
     cells = classes.select("node", "n", "rare", F.posexplode("firsts").alias("pos", "col"))
-    shared = cells.groupBy("col").agg(F.count("*").alias("c"), F.min(F.struct("rare", "node", "n", "pos")).alias("pivot")).where("c > 1").drop("c")
+    # a set has a column once, so a count above one means several sets
+    shared = cells.groupBy("col").count().where("count > 1").select("col")
     cells = written(cells.join(shared, "col"))
+    cells = written(cells.join(cells.groupBy("col").agg(F.min(F.struct("rare", "node", "n", "pos")).alias("pivot")), "col"))
 
     def possible(x: str, y: str, before: str) -> str:
         """What the overlap can still be, from the places of this column, meets what the sizes ask for."""
         n_x, n_y, p_x, p_y = f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"
         return f"{100 + percent} * (1 + {before} + least({n_x} - {p_x}, {n_y} - {p_y}) - 1) >= {percent} * ({n_x} + {n_y})"
 
-    pairs = written(cells.where("node <> pivot.node").where(possible("", "pivot.", "least(pos, pivot.pos)")).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct())
+    pairs = written(cells.where("node <> pivot.node").where(possible("", "pivot.", "least(pos, pivot.pos)")).select(F.col("pivot.node").alias("p"), F.col("node").alias("x")).distinct())
     links = _verified(docs, classes, pairs, width, percent)
     found = components(links)
 
@@ -127,7 +131,8 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     roots = written(roots.join(split, "col").select("col", "node", "n", "pos", "q", "root", "main"))
     x, y = roots.where("root <> main").alias("x"), roots.alias("y")
     across = x.join(y, F.expr("x.col = y.col and x.root <> y.root and (y.root = y.main or x.node < y.node)" + f" and {possible('x.', 'y.', 'least(x.q, y.q)')}"))
-    more = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = across.select(F.col("x.node").alias("p"), F.col("y.node").alias("x")).distinct()
+    more = more.join(pairs, ["p", "x"], "left_anti").join(pairs.select(F.col("p").alias("x"), F.col("x").alias("p")), ["p", "x"], "left_anti")
     found = components(links.unionByName(_verified(docs, classes, written(more), width, percent)))
 
     member = rows.select("doc_id", "n", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -137,40 +142,57 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.select("node", "doc_id").join(wanted, "node")
+    """Those of pairs (p, x) whose whole sets are similar enough, as (a, b).
+
+    The sets that meet p are dealt to blocks of about BLOCK_ROWS, p goes to each of its blocks, and a block is
+    multiplied with p.
+    """
+    blocks = (F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
+    parts = written(pairs.groupBy("p").agg(blocks.alias("parts")))
+    dealt = pairs.join(parts, "p").select(F.col("x").alias("node"), "p", F.pmod(F.hash("x"), F.col("parts")).alias("part"), F.lit(False).alias("own"))
+    own = parts.select(F.col("p").alias("node"), "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("own"))
+    to = dealt.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("p", "part", "own")).alias("to"))
+    wanted = written(classes.select("node", F.col("doc_id").alias("own_id")).join(to, "node"))
+    wanted = broadcast_if_small(wanted)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column("node").to_numpy(zero_copy_only=False)
+            node, to = batch.column("node").to_numpy(zero_copy_only=False), batch.column("to").to_pylist()
             for block in tokens.blocks(batch.column("text")):
-                sets = list(_sets(block, width))
-                own = [tokens.signed(tokens.mix(s).sum(dtype=np.uint64, keepdims=True))[0] == k if len(s) else False for s, k in zip(sets, node[block.rows[0] : block.rows[1]], strict=True)]
-                sets, kept = [s for s, o in zip(sets, own, strict=True) if o], node[block.rows[0] : block.rows[1]][np.array(own, bool)]
-                yield pa.RecordBatch.from_arrays([pa.array(kept), tokens.lists(tokens.signed(np.concatenate([*sets, np.zeros(0, np.uint64)])), np.array([len(s) for s in sets], np.int64))], names=["node", "cols"])
-
-    # a null doc_id has no row to join: such classes are found by their own id alone
-    have = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "node").mapInArrow(whole, "node long, cols array<long>")
-    have = written(have.groupBy("node").agg(F.first("cols").alias("cols")))
+                for i, s in enumerate(_sets(block, width), block.rows[0]):
+                    # rows that share a doc_id can hold other texts
+                    if len(s) and tokens.signed(tokens.mix(s).sum(dtype=np.uint64, keepdims=True))[0] == node[i]:
+                        n = len(to[i])
+                        cols = pa.array(tokens.signed(s))
+                        for at in range(0, n, 64):
+                            some = to[i][at : at + 64]
+                            values = pa.concat_arrays([cols] * len(some))
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([t["p"] for t in some]), pa.array([t["part"] for t in some], pa.int32()), pa.array([t["own"] for t in some]), pa.array(np.full(len(some), node[i])), tokens.lists(values.to_numpy(), np.full(len(some), len(s)))],
+                                names=["p", "part", "own", "node", "cols"],
+                            )
+
+    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"])).select("text", "node", "to")
+    rows = joined.mapInArrow(whole, "p long, part int, own boolean, node long, cols array<long>")
+    rows = rows.repartition("p", "part").sortWithinPartitions("p", "part", F.desc("own"))
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Overlaps of a block of pairs: the rows of either side are sorted together, equal neighbours are products."""
+        """Overlaps of a block's rows with the row of its p, which comes first."""
+        held = np.zeros(0, np.int64)
         for batch in batches:
-            left, right = batch.column("x"), batch.column("y")
-            for at in range(0, len(batch), 512):
-                x, y = left.slice(at, 512), right.slice(at, 512)
-                n_x, n_y = (np.asarray(c.value_lengths()).astype(np.int64) for c in (x, y))
-                row = np.concatenate([np.repeat(np.arange(len(x)), n_x), np.repeat(np.arange(len(y)), n_y)])
-                col = np.concatenate([np.asarray(x.flatten()), np.asarray(y.flatten())])
-                order = np.lexsort((col, row))
-                row, col = row[order], col[order]
-                both = row[1:][(row[1:] == row[:-1]) & (col[1:] == col[:-1])]
-                overlap = np.bincount(both, minlength=len(x))
-                keep = (100 + percent) * overlap >= percent * (n_x + n_y)
-                part = batch.slice(at, 512).filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"])
-
-    one = pairs.join(have.select(F.col("node").alias("a"), F.col("cols").alias("x")), "a")
-    two = one.join(have.select(F.col("node").alias("b"), F.col("cols").alias("y")), "b")
-    return written(two.select("a", "b", "x", "y").mapInArrow(product, "a long, b long"))
+            p, own, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("p", "own", "node"))
+            n = batch.column("cols").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, edge = batch.column("cols").flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])
+            turns = np.unique(np.concatenate([[0], np.flatnonzero(own), [len(batch)]]))
+            for begin, end in zip(turns[:-1], turns[1:], strict=True):
+                if own[begin]:
+                    held = np.sort(flat[edge[begin] : edge[begin + 1]])
+                    begin += 1
+                if begin < end and len(held):
+                    part = flat[edge[begin] : edge[end]]
+                    hit = held[np.minimum(np.searchsorted(held, part), len(held) - 1)] == part
+                    overlap = np.add.reduceat(hit.astype(np.int64), edge[begin:end] - edge[begin])
+                    keep = (100 + percent) * overlap >= percent * (n[begin:end] + len(held))
+                    yield pa.RecordBatch.from_arrays([pa.array(p[begin:end][keep]), pa.array(node[begin:end][keep])], names=["a", "b"])
+
+    return written(rows.mapInArrow(product, "a long, b long").distinct())
