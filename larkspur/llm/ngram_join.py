@@ -13,10 +13,11 @@ costs its size and not its square, and no link that could join two components is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from larkspur.llm import tokens
@@ -122,7 +123,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         return f"{100 + percent} * (1 + {before} + least({n_x} - {p_x}, {n_y} - {p_y}) - 1) >= {percent} * ({n_x} + {n_y})"
 
     pairs = written(cells.where("node <> pivot.node").where(possible("", "pivot.", "least(pos, pivot.pos)")).select(F.col("pivot.node").alias("p"), F.col("node").alias("x")).distinct())
-    links = _verified(docs, classes, pairs, width, percent)
+    links = _verified(docs, classes, pairs, frequent, width, percent)
     found = components(links)
 
     # columns that still hold several components; q: how many shared columns of the row come before this one
@@ -133,7 +134,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     across = x.join(y, F.expr("x.col = y.col and x.root <> y.root and (y.root = y.main or x.node < y.node)" + f" and {possible('x.', 'y.', 'least(x.q, y.q)')}"))
     more = across.select(F.col("x.node").alias("p"), F.col("y.node").alias("x")).distinct()
     more = more.join(pairs, ["p", "x"], "left_anti").join(pairs.select(F.col("p").alias("x"), F.col("x").alias("p")), ["p", "x"], "left_anti")
-    found = components(links.unionByName(_verified(docs, classes, written(more), width, percent)))
+    found = components(links.unionByName(_verified(docs, classes, written(more), frequent, width, percent)))
 
     member = rows.select("doc_id", "n", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.select("node", "doc_id").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("component_id"))
@@ -141,58 +142,101 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return linked.unionByName(member.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, frequent: Broadcast, width: int, percent: int) -> DataFrame:
     """Those of pairs (p, x) whose whole sets are similar enough, as (a, b).
 
-    The sets that meet p are dealt to blocks of about BLOCK_ROWS, p goes to each of its blocks, and a block is
-    multiplied with p.
+    The first block of columns is the sets' first columns, of which `classes` has them all: what they have in common
+    and what is left of either set bounds the overlap. Then come the whole sets, with columns cut to 32
+    bits, which can only add to an overlap; where a few more would decide, the whole columns are multiplied.
     """
-    blocks = (F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
-    parts = written(pairs.groupBy("p").agg(blocks.alias("parts")))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = frequent.value
+        for batch in batches:
+            firsts, to = batch.column("firsts"), batch.column("to").to_pylist()
+            n, size = batch.column("n").to_numpy(), np.asarray(firsts.value_lengths()).astype(np.int64)
+            h = np.asarray(firsts.flatten()).astype(np.int64).view(np.uint64)
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            often = known[at] == h if len(known) else np.zeros(len(h), bool)
+            # in the order of the columns: rare ones by hash, then frequent ones by rank
+            code = (h >> np.uint64(33)).astype(np.uint32)
+            code[often] = np.uint32(1 << 31) + ranks[at[often]].astype(np.uint32)
+            edge, node = np.concatenate([[0], np.cumsum(size)]), batch.column("node").to_numpy()
+            for i, some in enumerate(to):
+                yield from _sent(some, node[i], int(n[i]), code[edge[i] : edge[i + 1]].view(np.int32))
+
+    def whole(bits: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                node, to = batch.column("node").to_numpy(zero_copy_only=False), batch.column("to").to_pylist()
+                for block in tokens.blocks(batch.column("text")):
+                    for i, s in enumerate(_sets(block, width), block.rows[0]):
+                        # rows that share a doc_id can hold other texts
+                        if len(s) and tokens.signed(tokens.mix(s).sum(dtype=np.uint64, keepdims=True))[0] == node[i]:
+                            yield from _sent(to[i], node[i], len(s), tokens.signed(s) if bits == 64 else (s >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+        return run
+
+    def texts(some: DataFrame) -> DataFrame:
+        wanted = broadcast_if_small(written(classes.select("node", F.col("doc_id").alias("own_id")).join(_to(some), "node")))
+        return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"])).select("text", "node", "to")
+
+    row = "p long, part int, own boolean, node long, n long, cols array<{}>"
+    first = classes.select("node", "n", "firsts").join(_to(pairs), "node").mapInArrow(coded, row.format("int"))
+    left = written(_multiplied(first, percent, "bound").select("p", F.col("node").alias("x")))
+    short = written(_multiplied(texts(left).mapInArrow(whole(32), row.format("int")), percent, "short"))
+    unsure = written(short.where("not sure").select("p", F.col("node").alias("x")))
+    long = _multiplied(texts(unsure).mapInArrow(whole(64), row.format("long")), percent, "whole")
+    return written(short.where("sure").unionByName(long).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
+
+
+def _to(pairs: DataFrame) -> DataFrame:
+    """(node, to): the blocks that each set goes to. The sets that meet p are dealt to blocks of about BLOCK_ROWS, p goes to each of its blocks."""
+    parts = written(pairs.groupBy("p").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")))
     dealt = pairs.join(parts, "p").select(F.col("x").alias("node"), "p", F.pmod(F.hash("x"), F.col("parts")).alias("part"), F.lit(False).alias("own"))
     own = parts.select(F.col("p").alias("node"), "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("own"))
-    to = dealt.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("p", "part", "own")).alias("to"))
-    wanted = written(classes.select("node", F.col("doc_id").alias("own_id")).join(to, "node"))
-    wanted = broadcast_if_small(wanted)
+    return dealt.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("p", "part", "own")).alias("to"))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, to = batch.column("node").to_numpy(zero_copy_only=False), batch.column("to").to_pylist()
-            for block in tokens.blocks(batch.column("text")):
-                for i, s in enumerate(_sets(block, width), block.rows[0]):
-                    # rows that share a doc_id can hold other texts
-                    if len(s) and tokens.signed(tokens.mix(s).sum(dtype=np.uint64, keepdims=True))[0] == node[i]:
-                        n = len(to[i])
-                        cols = pa.array(tokens.signed(s))
-                        for at in range(0, n, 64):
-                            some = to[i][at : at + 64]
-                            values = pa.concat_arrays([cols] * len(some))
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([t["p"] for t in some]), pa.array([t["part"] for t in some], pa.int32()), pa.array([t["own"] for t in some]), pa.array(np.full(len(some), node[i])), tokens.lists(values.to_numpy(), np.full(len(some), len(s)))],
-                                names=["p", "part", "own", "node", "cols"],
-                            )
-
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"])).select("text", "node", "to")
-    rows = joined.mapInArrow(whole, "p long, part int, own boolean, node long, cols array<long>")
-    rows = rows.repartition("p", "part").sortWithinPartitions("p", "part", F.desc("own"))
+
+def _sent(to: list[dict], node: int, n: int, cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(to), 64):
+        some = to[at : at + 64]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t["p"] for t in some]), pa.array([t["part"] for t in some], pa.int32()), pa.array([t["own"] for t in some]), pa.array(np.full(len(some), node)), pa.array(np.full(len(some), n)), tokens.lists(np.tile(cols, len(some)), np.full(len(some), len(cols)))],
+            names=["p", "part", "own", "node", "n", "cols"],
+        )
+
+
+def _multiplied(rows: DataFrame, percent: int, kind: str) -> DataFrame:
+    """(p, node, sure) of the pairs that stay: each block's rows are multiplied with the row of its p, which comes first."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Overlaps of a block's rows with the row of its p, which comes first."""
-        held = np.zeros(0, np.int64)
+        held, held_n = np.zeros(0, np.int64), 0
         for batch in batches:
-            p, own, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("p", "own", "node"))
-            n = batch.column("cols").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat, edge = batch.column("cols").flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])
+            p, own, node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("p", "own", "node", "n"))
+            flat = np.asarray(batch.column("cols").flatten())
+            flat = flat.view(np.uint32) if flat.dtype == np.int32 else flat
+            edge = np.concatenate([[0], np.cumsum(np.asarray(batch.column("cols").value_lengths()).astype(np.int64))])
             turns = np.unique(np.concatenate([[0], np.flatnonzero(own), [len(batch)]]))
             for begin, end in zip(turns[:-1], turns[1:], strict=True):
                 if own[begin]:
-                    held = np.sort(flat[edge[begin] : edge[begin + 1]])
+                    held, held_n = np.sort(flat[edge[begin] : edge[begin + 1]]), n[begin]
                     begin += 1
-                if begin < end and len(held):
-                    part = flat[edge[begin] : edge[end]]
-                    hit = held[np.minimum(np.searchsorted(held, part), len(held) - 1)] == part
-                    overlap = np.add.reduceat(hit.astype(np.int64), edge[begin:end] - edge[begin])
-                    keep = (100 + percent) * overlap >= percent * (n[begin:end] + len(held))
-                    yield pa.RecordBatch.from_arrays([pa.array(p[begin:end][keep]), pa.array(node[begin:end][keep])], names=["a", "b"])
-
-    return written(rows.mapInArrow(product, "a long, b long").distinct())
+                if begin == end or not len(held):
+                    continue
+                part, at, size = flat[edge[begin] : edge[end]], edge[begin:end] - edge[begin], np.diff(edge[begin : end + 1])
+                hit = held[np.minimum(np.searchsorted(held, part), len(held) - 1)] == part
+                overlap, total = np.add.reduceat(hit.astype(np.int64), at), n[begin:end] + held_n
+                if kind == "bound":
+                    # up to the lesser of both last columns everything in common has been met; equal codes may be of different columns
+                    last, own_last = part[at + size - 1], held[-1]
+                    stop = np.minimum(last, own_last)
+                    met = np.where(last < own_last, size, np.add.reduceat((part < np.repeat(stop, size)).astype(np.int64), at))
+                    own_met = np.where(own_last < last, len(held), np.searchsorted(held, stop))
+                    overlap = overlap + np.minimum(n[begin:end] - met, held_n - own_met)
+                keep = (100 + percent) * overlap >= percent * total
+                sure = (100 + percent) * (overlap - 8) >= percent * total if kind == "short" else keep
+                yield pa.RecordBatch.from_arrays([pa.array(p[begin:end][keep]), pa.array(node[begin:end][keep]), pa.array(sure[keep])], names=["p", "node", "sure"])
+
+    sorted_rows = rows.repartition("p", "part").sortWithinPartitions("p", "part", F.desc("own"))
+    return sorted_rows.mapInArrow(product, "p long, node long, sure boolean")
