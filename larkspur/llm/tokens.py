@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; a longer text makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so that powers have inverses modulo 2**64
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
 
