@@ -30,6 +30,8 @@ SAMPLE_DOCS, FREQUENT = 5_000, 1 << 18
 BLOCK_ROWS = 1_000
 #: Words of 64 bits that hold the parity of a set's columns.
 MASKS = 8
+#: Sets of more than LARGE columns have a mask of WIDE words besides: in the narrow one half of all bits would differ whatever they hold.
+LARGE, WIDE = 1_024, 32
 
 
 def _sets(block: tokens.Block, width: int) -> Iterator[np.ndarray]:
@@ -51,6 +53,12 @@ def _sets(block: tokens.Block, width: int) -> Iterator[np.ndarray]:
             yield words[:0]
 
 
+def _parity(s: np.ndarray, words: int) -> np.ndarray:
+    """Whether an odd number of columns falls on each of 64 * words bits."""
+    odd = np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n-grams that many of a bounded sample of documents hold, sorted, and their ranks, rarest first."""
     total = docs.count()
@@ -86,6 +94,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
 
     mask_names = [f"m{i}" for i in range(MASKS)]
+    held = ["n", "rare", "firsts", *mask_names, "wide"]
 
     def need(n: int) -> int:
         return -(-percent * n // 100)
@@ -94,7 +103,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         known, ranks = frequent.value
         for batch in batches:
             for block in tokens.blocks(batch.column("text")):
-                sets, firsts, masks, out = list(_sets(block, width)), [], [], []
+                sets, firsts, masks, wide, out = list(_sets(block, width)), [], [], [], []
                 for s in sets:
                     at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
                     often = known[at] == s if len(known) else np.zeros(len(s), bool)
@@ -105,18 +114,18 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
                         rest = s[often]
                         first = np.concatenate([first, rest[np.argsort(ranks[at[often]])[: keep - len(first)]]])
                     firsts.append(first)
-                    odd = (np.bincount((s & np.uint64(64 * MASKS - 1)).astype(np.int64), minlength=64 * MASKS) & 1).astype(np.uint8)
-                    masks.append(np.packbits(odd).view(np.int64))
+                    masks.append(_parity(s, MASKS))
+                    wide.append(_parity(s, WIDE) if len(s) > LARGE else None)
                     out.append((len(s), tokens.mix(s).sum(dtype=np.uint64), len(rare)))
                 n, key, rare_n = (np.array(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.rows[0], block.rows[1] - block.rows[0]), pa.array(n.astype(np.int64)), pa.array(tokens.signed(key.astype(np.uint64))), pa.array((rare_n * 1_000_000 // np.maximum(n, 1)).astype(np.int64)), tokens.lists(tokens.signed(np.concatenate(firsts)), np.array([len(x) for x in firsts])), *(pa.array(np.ascontiguousarray(m)) for m in np.array(masks).T)],
-                    names=["doc_id", "n", "node", "rare", "firsts", *mask_names],
+                    [batch.column("doc_id").slice(block.rows[0], block.rows[1] - block.rows[0]), pa.array(n.astype(np.int64)), pa.array(tokens.signed(key.astype(np.uint64))), pa.array((rare_n * 1_000_000 // np.maximum(n, 1)).astype(np.int64)), tokens.lists(tokens.signed(np.concatenate(firsts)), np.array([len(x) for x in firsts])), *(pa.array(np.ascontiguousarray(m)) for m in np.array(masks).T), pa.array(wide, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "node", *held[1:]],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(incidence, f"doc_id {kind}, n long, node long, rare long, firsts array<long>, " + ", ".join(f"{m} long" for m in mask_names)))
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("firsts").alias("firsts"), *(F.first(m).alias(m) for m in mask_names))
+    rows = written(docs.mapInArrow(incidence, f"doc_id {kind}, n long, node long, rare long, firsts array<long>, " + ", ".join(f"{m} long" for m in mask_names) + ", wide array<long>"))
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in held))
     cells = classes.select("node", "n", "rare", F.posexplode("firsts").alias("pos", "col"))
     # a set has a column once, so a count above one means several sets
     shared = cells.groupBy("col").count().where("count > 1").select("col")
@@ -135,11 +144,13 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # columns that still hold several components; q: how many shared columns of the row come before this one
     roots = cells.select("col", "node", "n", "pos", F.col("pivot.node").alias("pivot")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("q", F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1)
     split = roots.groupBy("col").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.col("node") != F.col("pivot"), "root")).alias("top")).where("lo <> hi").select("col", F.col("top.root").alias("main"))
-    roots = written(roots.join(split, "col").select("col", "node", "n", "pos", "q", "root", "main").join(classes.select("node", *mask_names), "node"))
+    roots = written(roots.join(split, "col").select("col", "node", "n", "pos", "q", "root", "main").join(classes.select("node", *mask_names, "wide"), "node"))
     # columns that a set holds are counted by parity in a few bits: bits that differ are no more than columns that do
     differ = " + ".join(f"bit_count(x.{m} ^ y.{m})" for m in mask_names)
+    most = f"{100 - percent} * (x.n + y.n)"
+    wider = "aggregate(zip_with(x.wide, y.wide, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)"  # null where a set is not large
     x, y = roots.where("root <> main").alias("x"), roots.alias("y")
-    across = x.join(y, F.expr("x.col = y.col and x.root <> y.root and (y.root = y.main or x.node < y.node)" + f" and {possible('x.', 'y.', 'least(x.q, y.q)')} and {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)"))
+    across = x.join(y, F.expr("x.col = y.col and x.root <> y.root and (y.root = y.main or x.node < y.node)" + f" and {possible('x.', 'y.', 'least(x.q, y.q)')} and {100 + percent} * ({differ}) <= {most} and coalesce({100 + percent} * {wider} <= {most}, true)"))
     more = across.select(F.col("x.node").alias("p"), F.col("y.node").alias("x")).distinct()
     more = more.join(pairs, ["p", "x"], "left_anti").join(pairs.select(F.col("p").alias("x"), F.col("x").alias("p")), ["p", "x"], "left_anti")
     found = components(links.unionByName(_verified(docs, classes, written(more), frequent, width, percent)))

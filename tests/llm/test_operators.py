@@ -102,10 +102,10 @@ def test_line_dedup_brute_force(spark):
 
 def test_ngram_join_brute_force(spark):
     rng = random.Random(3)
-    docs, base = [], [prose(rng, n) for n in (2, 20, 60, 61, 150)]
+    docs, base = [], [prose(rng, n) for n in (2, 20, 60, 61, 150, 1500)]
     for i in range(150):
         words = rng.choice(base).split()
-        for _ in range(rng.choice((0, 0, 1, 2, 3, 6))):
+        for _ in range(rng.choice((0, 0, 1, 2, 3, 6)) * max(1, len(words) // 100)):
             k = rng.randrange(len(words) + 1)
             words[k : k + rng.randrange(2)] = rng.choice(([], [rng.choice(WORDS) + str(rng.randrange(5))]))
         docs.append((1000 - i, " ".join(words)))
