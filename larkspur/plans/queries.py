@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from larkspur.functions import text as X, vectors as V
-from larkspur.operators import relational as R, search as S
+from larkspur.operators import entities as E, relational as R, search as S
 from larkspur.sources import files
 from larkspur.streaming import microbatch
 
@@ -470,3 +470,39 @@ def G03_place_hierarchy(t):
 def V18_in_polygon(t):
     ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1))))
     return t.embeddings.select("vec_id", V.dense("embedding").alias("e")).select("vec_id", V.in_polygon(F.element_at("e", 1), F.element_at("e", 2), ring).alias("inside"))
+
+
+# --- entity dictionaries
+
+
+_FLAT = "select 's' as tag_group, s_nationkey as tag, s_suppkey % 4 as entity_group, s_suppkey % 3 as entity_index, [s_name] as synonym from supplier"
+_NESTED = f"""with l as (select tag_group, tag, entity_group, entity_index, count(*) as n from ({_FLAT}) group by all), e as (select tag_group, tag, entity_group, count(*) as legs, sum(n)::bigint as n from l group by all)
+select tag_group, tag, 1::bigint as legs, sum(n)::bigint as n from e where legs = 1 group by all union all select tag_group, tag, legs, n from e where legs > 1"""
+
+
+def _flat(t):
+    return t.supplier.select(F.lit("s").alias("tag_group"), F.col("s_nationkey").alias("tag"), (F.col("s_suppkey") % 4).alias("entity_group"), (F.col("s_suppkey") % 3).alias("entity_index"), F.array("s_name").alias("synonym"))
+
+
+@query(_NESTED)
+def E01_group_entities(t):
+    return E.group_entities(_flat(t)).select("tag_group", "tag", F.size("legs").cast("long").alias("legs"), F.size(F.flatten("legs")).cast("long").alias("n"))
+
+
+@query(f"select tag_group, tag, synonym[1] as name from ({_FLAT})")
+def E02_ungroup_entities(t):
+    return E.ungroup_entities(E.group_entities(_flat(t))).select("tag_group", "tag", F.element_at("synonym", 1).alias("name"))
+
+
+def _legs(*legs):
+    return F.array(*(F.array(*(F.array(*map(F.lit, s.split())) for s in leg)) for leg in legs))
+
+
+@query(rf"select item_id, list_contains(t, 'the') and (list_contains(t, 'of') or list_contains(t, 'and')) as found from (select item_id, {_TOK % 'text'} as t from benchmark)")
+def E03_entity_in_text(t):
+    return t.benchmark.select("item_id", E.entity_in_text(X.tokens("text"), _legs(["the"], ["of", "and"])).alias("found"))
+
+
+@query(rf"select item_id, list_filter({_TOK % 'text'}, lambda x: x not in ('the', 'of')) as tokens from benchmark")
+def E04_non_entity_tokens(t):
+    return t.benchmark.select("item_id", E.non_entity_tokens(X.tokens("text"), _legs(["the", "of"])).alias("tokens"))

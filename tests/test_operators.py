@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X, vectors as V
-from larkspur.operators import relational as R, search as S
+from larkspur.operators import entities as E, relational as R, search as S
 from larkspur.plans.pipeline import Pipeline, Plan, Step
 from larkspur.sources import files
 from larkspur.streaming import microbatch
@@ -127,3 +127,13 @@ def test_relational(spark):
     assert R.group_by(rows, ["k"], max_of=["n"], peek_rest=False).columns == ["k", "n"]
     log = spark.createDataFrame([(1, 1, "create", "a"), (1, 2, "update", None), (1, 3, "update", "b"), (2, 1, "create", "c"), (2, 2, "delete", None), (2, 3, "update", "d"), (3, 1, "delete", None), (3, 2, "create", "e")], "k int, ts int, kind string, v string")
     assert {r.k: r.v for r in R.fold_log(log, "k", "ts", "kind", "v").collect()} == {1: "b", 3: "e"}
+
+
+def test_entities(spark):
+    flat = spark.createDataFrame([("g", "t", 1, 0, ["new", "york"]), ("g", "t", 1, 1, ["city"]), ("g", "t", 2, 0, ["paris"]), ("g", "t", 3, 5, ["rome"])], "tag_group string, tag string, entity_group int, entity_index int, synonym array<string>")
+    nested = E.group_entities(flat)
+    assert sorted(r.legs for r in nested.collect()) == [[[["new", "york"]], [["city"]]], [[["paris"], ["rome"]]]]
+    assert E.group_entities(E.ungroup_entities(nested)).exceptAll(nested).count() == 0 and E.ungroup_entities(nested).count() == 4
+    texts = spark.createDataFrame([("the city of New York",), ("new city york",), ("city of new yorke",), ("",)], "text string").join(nested.where("size(legs) = 2"))
+    rows = texts.select(F.split("text", " ").alias("t"), "legs").select(E.entity_in_text("t", "legs").alias("a"), E.entity_in_text("t", "legs", 0.7).alias("b")).collect()
+    assert [(r.a, r.b) for r in rows] == [(True, True), (False, False), (False, True), (False, False)]
