@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from larkspur.llm import tokens
+
 #: Every byte that is not part of a word is a space, A-Z are a-z: words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Words of all items at most: the automaton is broadcast, some 300 bytes a word.
@@ -159,6 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     hit words, but are not listed; equal item_ids are one item. With no item nothing is hit.
     """
     spark = docs.sparkSession
+    tokens.bound_batches(spark)
     tables = spark.sparkContext.broadcast(automaton(benchmark, window))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -204,6 +207,7 @@ def cleaned(text: bytes, machine: Automaton, max_coverage: float) -> bytes | Non
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """docs without the spans that contamination() hits; a document of which they are more than max_coverage goes. Null texts stay."""
+    tokens.bound_batches(docs.sparkSession)
     tables = docs.sparkSession.sparkContext.broadcast(automaton(benchmark, window)[0])
     at = docs.columns.index("text")
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from larkspur.llm import tokens
+
 BUCKETS, SIZES = 1 << 16, (1, 2, 3)
 #: Documents that each language is learned from, about: a sample by hash of doc_id, all if there are fewer. Languages at most.
 SAMPLE_DOCS, MAX_LANGS = 4_000, 500
@@ -94,6 +96,7 @@ def predicted(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
     A null text or one without a letter (Unicode L) is `und` with score 0, and so is any text if no language
     was learned. Whole texts are scored.
     """
+    tokens.bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(table)
 
     @pandas_udf("lang_pred string, score double")

@@ -104,6 +104,7 @@ def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     docs: doc_id, rid, text. Earlier: smaller (doc_id, rid, line_no), a null doc_id last. A line is compared
     with every earlier one, also with those that go themselves. Lines without a word are never dropped.
     """
+    tokens.bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,6 +91,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
+    tokens.bound_batches(spark)
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
 
     mask_names = [f"m{i}" for i in range(MASKS)]

@@ -13,13 +13,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text that are hashed at once; a longer text makes a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes that an Arrow batch of texts has at most, about: Spark, the worker and what is made of the batch each hold it once or more.
+BATCH_BYTES = 4 << 20
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so that powers have inverses modulo 2**64
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_BYTES at most, or fewer if it asks for fewer; a longer row makes a batch of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
