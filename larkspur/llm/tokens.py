@@ -7,6 +7,7 @@ range of words at once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +27,9 @@ _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
 def bound_batches(spark: SparkSession) -> None:
     """From now on the session's Arrow batches have BATCH_BYTES at most, or fewer if it asks for fewer; a longer row makes a batch of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key).rstrip("b"))
-    if not 0 < now <= BATCH_BYTES:
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()  # such as 64m or 4194304b
+    now = int(number) << 10 * " kmgtp".index(unit or " ")
+    if now > BATCH_BYTES:
         spark.conf.set(key, BATCH_BYTES)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, components, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, suffix_dedup, url_filter, vector_dedup
+from larkspur.llm import chat_format, components, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, suffix_dedup, tokens, url_filter, vector_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu") for b in ("la", "ne", "ri", "so", "tu", "x", "Y")]
@@ -316,3 +316,16 @@ def test_url_filter(spark):
                 if r.host == h:
                     assert r[way] == pytest.approx(m[i])
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_arrow_batches_are_bounded(spark):
+    """A wider bound is lowered, a narrower one stays, whatever its unit."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for asked, held in (("64m", str(4 << 20)), ("67108864b", str(4 << 20)), ("1mb", "1mb"), ("512k", "512k")):
+            spark.conf.set(key, asked)
+            tokens.bound_batches(spark)
+            assert spark.conf.get(key) == held
+    finally:
+        spark.conf.set(key, before)
