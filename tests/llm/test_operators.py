@@ -4,7 +4,7 @@ import json
 import random
 import re
 import zlib
-from hashlib import sha256
+from hashlib import md5, sha256
 
 import numpy as np
 import pytest
@@ -222,6 +222,24 @@ def test_mixing(spark):
     assert half / by[order[1]] == pytest.approx(3 / 8, abs=0.05)
 
 
+def test_mixing_counts_every_word_before_a_document(spark):
+    rng = random.Random(16)
+    docs = [(i, prose(rng, rng.choice([1, 5, 40, 700])), "en", rng.choice("abcdef"), 1) for i in range(240)] + [(None, prose(rng, n), "en", "b", 1) for n in (3, 3, 300)]
+    want, key = [], lambda r: (md5(str("" if r[0] is None else r[0]).encode()).hexdigest()[:8], len(r[1].split()))
+    rows = mixing.taken(spark.createDataFrame(docs, DOCS).repartition(5)).collect()
+    targets = {(r.doc_id, r.size): r.target for r in rows}
+    for s in "abcdef":
+        mine, place = sorted((d for d in docs if d[3] == s), key=key), 0
+        whole = sum(len(d[1].split()) for d in mine)
+        for d in mine:
+            n = len(d[1].split())
+            want.append((d[0], n, n * sum(e * whole + place + n / 2 < targets[d[0], n] for e in range(3))))
+            place += n
+        got, most = sum(w[2] for w, d in zip(want[-len(mine) :], mine, strict=True)), max(len(d[1].split()) for d in mine)
+        assert abs(got - targets[mine[0][0], len(mine[0][1].split())]) <= most / 2 + 1
+    assert sorted(((r.doc_id, r.size, r.taken) for r in rows), key=repr) == sorted(want, key=repr)
+
+
 def test_quality_and_language_on_held_out_rows(spark, sf):
     sf = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
