@@ -1,6 +1,8 @@
 """Every query against its SQL in DuckDB, on the smallest tables."""
 
 import math
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -33,6 +35,21 @@ def test_query(spark, sf, name):
     assert sorted(repr(canon([r[c] for c in cols])) for r in df.collect()) == want
 
 
+def test_lookup_asks_by_whole_texts(spark, sf):
+    token = re.compile(r"[^\W_]+")
+    docs = {r.doc_id: Counter(token.findall(r.text.lower())) for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect()}
+    docs = {k: c for k, c in docs.items() if c}
+    df, mean = Counter(w for c in docs.values() for w in c), sum(c.total() for c in docs.values()) / len(docs)
+    got = {r.item_id: (r.doc_id, r.score) for r in queries.QUERIES["J10_lookup"](spark, sf).collect()}
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    for item in items:
+        words = token.findall(item.text.lower())
+        scored = {k: sum(n * math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w, n in Counter(words).items() if w in c) for k, c in docs.items()}
+        best = min(scored, key=lambda k: (-round(scored[k], 6), k))
+        assert got[item.item_id] == (best, pytest.approx(scored[best], abs=1e-4))
+    assert len(got) == len(items)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 40
     assert set(queries.SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
