@@ -50,6 +50,17 @@ def test_lookup_asks_by_whole_texts(spark, sf):
     assert len(got) == len(items)
 
 
+def test_whole_vectors(spark, sf):
+    rows, groups = spark.read.parquet(f"{sf}/embeddings.parquet").collect(), {}
+    for r in rows:
+        groups.setdefault(r.label, []).append(r.embedding)
+    assert {r.label: r.v for r in queries.QUERIES["A02_vector_max"](spark, sf).collect()} == {k: [max(x) for x in zip(*g, strict=True)] for k, g in groups.items()}
+    centres = {k: [math.fsum(x) / len(g) for x in zip(*g, strict=True)] for k, g in groups.items()}
+    cosine = lambda a, b: math.sumprod(a, b) / math.hypot(*a) / math.hypot(*b)
+    want = {r.vec_id: min(centres, key=lambda k: (-round(cosine(r.embedding, centres[k]), 9), k)) for r in rows}
+    assert {r.vec_id: r.centre for r in queries.QUERIES["J14_nearest_centre"](spark, sf).collect()} == want
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 40
     assert set(queries.SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
