@@ -7,6 +7,7 @@ them. A host is blocked where distrust is the greater part of both. Only the hos
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,6 +16,8 @@ from larkspur.plans.session import written
 #: (verdict, host and path); a rule fits its host and all subdomains if the path begins with its own. Fixed values.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING, ROUNDS, LIMIT = 0.85, 10, 0.5
+#: Rounds go on until the masses of a way change by no more than this in sum over CUT rounds; ROUNDS is the least number of them.
+TOLERANCE = 1e-9
 #: Rounds between two written tables.
 CUT = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,22 +45,27 @@ def _ruled(rules: Sequence[tuple[str, str]]) -> Column:
     return F.coalesce(*(F.when(f, s) for f, s in zip(fits[::2], fits[1::2], strict=True)))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(way, host, mass): edges (way, a, b) carry mass from a to b; seeds (way, host, mass) sum to one for each way.
 
-    Each round is a join and a sum over edges. Mass of hosts without edges leaves.
+    Each round is a join and a sum over edges. Mass of hosts without edges leaves. What is left to move after
+    CUT rounds is less than what they moved, as damping ** CUT is below a half: about 130 rounds do for any graph.
     """
     out = edges.groupBy("way", "a").agg(F.count("*").alias("d"))
     edges = written(edges.join(out, ["way", "a"]))
     seeds = written(seeds)
     start = seeds.withColumn("mass", F.col("mass") * (1 - damping))
-    now = start
-    for i in range(1, rounds + 1):
+    now = before = start
+    for i in count(1):
         moved = edges.join(now.withColumnRenamed("host", "a"), ["way", "a"]).groupBy("way", F.col("b").alias("host")).agg((damping * F.sum(F.col("mass") / F.col("d"))).alias("mass"))
         now = start.unionByName(moved).groupBy("way", "host").agg(F.sum("mass").alias("mass"))
         if i % CUT == 0:
             now = written(now)
-    return now
+            if i >= rounds:
+                moved = now.unionByName(before.withColumn("mass", -F.col("mass"))).groupBy("way", "host").agg(F.sum("mass").alias("mass"))
+                if not moved.groupBy("way").agg(F.sum(F.abs("mass")).alias("change")).where(F.col("change") > tolerance).count():
+                    return now
+            before = now
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT) -> DataFrame:

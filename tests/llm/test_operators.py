@@ -336,6 +336,20 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_propagation_converges(spark):
+    """A chain of 26 hosts whose last three are a cycle, against the solved linear system."""
+    n = 26
+    pairs = [(i, i + 1) for i in range(n - 1)] + [(n - 1, n - 3)]
+    edges = spark.createDataFrame([("trust", f"h{a}", f"h{b}") for a, b in pairs], "way string, a string, b string")
+    seeds = spark.createDataFrame([("trust", "h0", 1.0)], "way string, host string, mass double")
+    got = {r.host: r.mass for r in url_filter.propagated(edges, seeds).collect()}
+    flow = np.zeros((n, n))
+    for a, b in pairs:
+        flow[b, a] += url_filter.DAMPING / sum(x == a for x, _ in pairs)
+    want = np.linalg.solve(np.eye(n) - flow, np.eye(n)[0] * (1 - url_filter.DAMPING))
+    assert len(got) == n and [got[f"h{i}"] for i in range(n)] == pytest.approx(list(want), rel=1e-6, abs=1e-9)
+
+
 def test_arrow_batches_are_bounded(spark):
     """A wider bound is lowered, a narrower one stays, whatever its unit."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
