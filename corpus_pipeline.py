@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from larkspur.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
 from larkspur.plans.session import written
@@ -20,9 +20,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id stays; documents without an id stay."""
-    gone = ngram_join.similar(docs, width=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of similar documents one row stays, of the smallest id, of none only if no row has one.
+
+    Rows are told apart by a hash of id and text; of rows that share both one stays. Documents without words stay.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = written(ngram_join.similar(keyed, width=5, percent=80, carry=["_row"]).where("root is not null"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    gone = found.join(first, "root").where("_row <> first._row").select("_row").distinct()
+    again = F.row_number().over(Window.partitionBy("_row").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text"))))
+    rest = keyed.join(gone, "_row", "left_anti").withColumn("_again", again)
+    return rest.where(F.expr(r"_again = 1 or not coalesce(text rlike '[^\\x20\\x09-\\x0D]', false)")).select(*docs.columns)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

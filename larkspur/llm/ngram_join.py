@@ -13,7 +13,7 @@ costs its size and not its square, and no link that could join two components is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +80,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], ranks[order]
 
 
-def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, percent: int = 80, carry: Sequence[str] = ()) -> DataFrame:
     """Components of documents whose sets of width-word n-grams have a Jaccard similarity of percent/100 or more.
 
     docs: doc_id, text; other columns are ignored. Returns (doc_id, n_shingles, component_id) for every row.
@@ -88,8 +88,10 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     n-gram; an empty or null text has none, links with nothing and is its own component. A null doc_id takes
     part but never names a component: it gets the smallest id of its component, null if there is none. Rows
     that share a doc_id are one document only if their sets link. Sets are told apart by 64-bit hashes.
+    With carry, columns of docs by name, each row has these too and root, which tells components apart by
+    more than their least id; it is null for a text without words.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *carry)
     spark = docs.sparkSession
     tokens.bound_batches(spark)
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
@@ -120,12 +122,12 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
                     out.append((len(s), tokens.mix(s).sum(dtype=np.uint64), len(rare)))
                 n, key, rare_n = (np.array(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.rows[0], block.rows[1] - block.rows[0]), pa.array(n.astype(np.int64)), pa.array(tokens.signed(key.astype(np.uint64))), pa.array((rare_n * 1_000_000 // np.maximum(n, 1)).astype(np.int64)), tokens.lists(tokens.signed(np.concatenate(firsts)), np.array([len(x) for x in firsts])), *(pa.array(np.ascontiguousarray(m)) for m in np.array(masks).T), pa.array(wide, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "node", *held[1:]],
+                    [*(batch.column(c).slice(block.rows[0], block.rows[1] - block.rows[0]) for c in ("doc_id", *carry)), pa.array(n.astype(np.int64)), pa.array(tokens.signed(key.astype(np.uint64))), pa.array((rare_n * 1_000_000 // np.maximum(n, 1)).astype(np.int64)), tokens.lists(tokens.signed(np.concatenate(firsts)), np.array([len(x) for x in firsts])), *(pa.array(np.ascontiguousarray(m)) for m in np.array(masks).T), pa.array(wide, pa.list_(pa.int64()))],
+                    names=["doc_id", *carry, "n", "node", *held[1:]],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(incidence, f"doc_id {kind}, n long, node long, rare long, firsts array<long>, " + ", ".join(f"{m} long" for m in mask_names) + ", wide array<long>"))
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
+    rows = written(docs.mapInArrow(incidence, f"{kinds}, n long, node long, rare long, firsts array<long>, " + ", ".join(f"{m} long" for m in mask_names) + ", wide array<long>"))
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in held))
     cells = classes.select("node", "n", "rare", F.posexplode("firsts").alias("pos", "col"))
     # a set has a column once, so a count above one means several sets
@@ -156,10 +158,11 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     more = more.join(pairs, ["p", "x"], "left_anti").join(pairs.select(F.col("p").alias("x"), F.col("x").alias("p")), ["p", "x"], "left_anti")
     found = components(links.unionByName(_verified(docs, classes, written(more), frequent, width, percent)))
 
-    member = rows.select("doc_id", "n", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", *carry, *(["root"] if carry else [])]
+    member = rows.select("doc_id", *carry, "n", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.select("node", "doc_id").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("component_id"))
-    linked = member.where("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(member.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    linked = member.where("n > 0").join(least, "root").select(*out)
+    return linked.unionByName(member.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("long")).select(*out))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, frequent: Broadcast, width: int, percent: int) -> DataFrame:

@@ -5,6 +5,23 @@ import shutil
 import corpus_pipeline
 
 
+def test_one_row_of_each_component_stays(spark, sf):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [
+        (2, a, "s", 1), (1, a + " tail", "s", 1), (None, a, "s", 1),  # near copies, one without an id
+        (3, b, "s", 1), (3, b, "s", 1), (3, b, "t", 1),  # repeated rows
+        (None, c, "s", 1), (None, c, "s", 1), (None, c + " tail", "s", 1),  # copies without an id
+        (2, d, "s", 1),  # shares its id with a copy of a
+        (4, e, "s", 1), (4, e + " tail", "s", 1),  # near copies that share their id
+        (5, "", "s", 1), (5, "", "s", 1), (6, None, "s", 1),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, n) for i, t, s, n in rows], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    out = corpus_pipeline.near_duplicates(spark, docs.repartition(4), sf)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = [(r.doc_id, r.text and r.text.removesuffix(" tail"), r.source) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(1, a, "s"), (3, b, "s"), (None, c, "s"), (2, d, "s"), (4, e, "s"), (5, "", "s"), (5, "", "s"), (6, None, "s")], key=repr)
+
+
 def test_stages(spark, sf, tmp_path):
     shutil.copy(f"{sf}/benchmark.parquet", tmp_path / "benchmark.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
