@@ -6,7 +6,8 @@ any item. Only stretches of words that items use can match, so others are steppe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import partial
 from hashlib import sha256
 from itertools import repeat
 
@@ -16,11 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from larkspur.llm import tokens
+from larkspur.plans.session import dropped, written
 
 #: Every byte that is not part of a word is a space, A-Z are a-z: words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Words of all items at most: the automaton is broadcast, some 300 bytes a word.
-MAX_ITEM_WORDS = 1_000_000
+#: Characters of the items of an automaton, about: it is broadcast, some 100 bytes a character at most. More items make several, one after the other.
+PART_CHARS = 4_000_000
 
 
 class Automaton:
@@ -39,6 +41,12 @@ class Automaton:
         self.windows: dict[int, set[int]] = {}
         self.short: dict[int, list[tuple[int, int]]] = {}
         self.least = min((min(size, len(x)) for x in words if x), default=0)
+        #: last[state]: the state that holds its last `size` words
+        self.last = list(range(len(self.length)))
+        by_length = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        for v in by_length:
+            if self.length[self.link[v]] >= size:
+                self.last[v] = self.last[self.link[v]]
         for k, item in enumerate(words):
             state, n = 0, 0
             for w in item:
@@ -47,6 +55,10 @@ class Automaton:
                     self.windows.setdefault(self.window(state), set()).add(k)
             if 0 < len(item) < size:
                 self.short.setdefault(self.holding(state, len(item)), []).append((len(item), k))
+        #: nearest[state]: it or the next of its suffixes that ends a short item; these have different lengths, fewer than size
+        self.nearest = [0] * len(self.length)
+        for v in by_length if self.short else ():
+            self.nearest[v] = v if v in self.short else self.nearest[self.link[v]]
 
     def _add(self, last: int, w: int) -> int:
         known = self.next[last].get(w)
@@ -96,7 +108,7 @@ class Automaton:
         return state
 
     def window(self, state: int) -> int:
-        return self.holding(state, self.size)
+        return self.last[state]
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans of words within windows that occur, overlapping ones merged, and the items that have them."""
@@ -106,6 +118,7 @@ class Automaton:
         known = np.concatenate([[False], ids >= 0, [False]])
         turns = np.flatnonzero(known[1:] != known[:-1])
         spans: list[list[int]] = []
+        seen: set[int] = set()
         items: set[int] = set()
         for begin, end in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
             if end - begin < self.least:
@@ -115,35 +128,43 @@ class Automaton:
                 state, n = self.step(state, n, w)
                 width = 0
                 if n >= self.size:
-                    items |= self.windows[self.window(state)]
+                    seen.add(self.last[state])
                     width = self.size
-                if self.short:
-                    up = state
-                    while up > 0:
-                        for size, k in self.short.get(up, ()):
-                            if size <= n:
-                                items.add(k)
-                                width = max(width, size)
-                        up = self.link[up]
+                up = self.nearest[state] if self.short else 0
+                while up > 0:
+                    for size, k in self.short[up]:
+                        if size <= n:
+                            items.add(k)
+                            width = max(width, size)
+                    up = self.nearest[self.link[up]]
                 if width:
                     if spans and at - width <= spans[-1][1]:
                         spans[-1][0], spans[-1][1] = min(spans[-1][0], at - width), at
                     else:
                         spans.append([at - width, at])
-        merged: list[tuple[int, int]] = []
-        for b, e in spans:  # a later, wider window can reach back over several spans
-            while merged and b <= merged[-1][1]:
-                b = min(b, merged.pop()[0])
-            merged.append((b, e))
-        return merged, items
-
-
-def automaton(benchmark: DataFrame, window: int = 10) -> tuple[Automaton, list[str | None]]:
-    """Of the items (item_id, text) of benchmark, and their ids as strings. Items are bounded by MAX_ITEM_WORDS, which is checked."""
-    count = F.coalesce(F.sum(F.length("text")), F.lit(0))
-    if benchmark.select("text").agg(count).first()[0] > 8 * MAX_ITEM_WORDS:
-        raise ValueError(f"items of more than about {MAX_ITEM_WORDS} words: split them and run once for each part")
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").distinct().collect()
+        return merged(spans), items.union(*(self.windows[v] for v in seen))
+
+
+def merged(spans: Iterable[Sequence[int]]) -> list[tuple[int, int]]:
+    """Spans in the order of their ends, those that meet united; a later, wider one can reach back over several."""
+    out: list[tuple[int, int]] = []
+    for b, e in spans:
+        while out and b <= out[-1][1]:
+            b = min(b, out.pop()[0])
+        out.append((b, e))
+    return out
+
+
+def parts(benchmark: DataFrame) -> list[DataFrame]:
+    """The items (item_id, text) of benchmark in parts of about PART_CHARS characters, dealt by hash; a longer item makes its part longer."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    n = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // PART_CHARS + 1
+    return [rows.where(F.pmod(F.xxhash64("item_id", "text", F.lit(5)), F.lit(n)) == i) for i in range(n)]
+
+
+def automaton(items: DataFrame, window: int = 10) -> tuple[Automaton, list[str | None]]:
+    """Of the items (item_id, text) of a part, which bounds them, and their ids as strings."""
+    rows = items.collect()
     rows.sort(key=lambda r: (r[0] or "", r[1] or ""))
     return Automaton([(t or "").encode().translate(_FOLD).split() for _, t in rows], window), [i for i, _ in rows]
 
@@ -153,62 +174,98 @@ def _batches(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py()
 
 
+def _scanned(docs: DataFrame, items: DataFrame, window: int, text: str, kept: bool) -> DataFrame:
+    """docs with _words, _spans and _items: what the items of one part hit is added to what is there; the text stays if kept."""
+    tables = docs.sparkSession.sparkContext.broadcast(automaton(items, window))
+    names = [c for c in docs.columns if c not in ("_words", "_spans", "_items") and (kept or c != text)]
+    at, old = docs.columns.index(text), [docs.columns.index(c) for c in ("_spans", "_items") if c in docs.columns]
+    own = [docs.columns.index(c) for c in names]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, ids = tables.value
+        for batch in batches:
+            n, hit, listed = [], [], []
+            before = [batch.column(i).to_pylist() for i in old] or [[()] * len(batch)] * 2
+            for value, spans, items in zip(_batches(batch.column(at)), *before, strict=True):
+                words = value.translate(_FOLD).split()
+                new, found = machine.hits(words)
+                n.append(len(words))
+                hit.append(merged(sorted([*((x["b"], x["e"]) for x in spans), *new], key=lambda x: x[1])))
+                listed.append(sorted({ids[i] for i in found}.union(items) - {None}))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(n, pa.int64()), pa.array([[{"b": b, "e": e} for b, e in x] for x in hit], _SPANS), pa.array(listed, pa.list_(pa.string()))], names=[*names, "_words", "_spans", "_items"])
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.mapInArrow(scan, f"{kinds}, _words long, _spans array<struct<b:int,e:int>>, _items array<string>")
+
+
+_SPANS = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
+
+
+def _hit(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """docs (doc_id, text) as (doc_id, _words, _spans, _items) for all parts of benchmark; between two parts they are written, so that one automaton is held at a time."""
+    some = parts(benchmark)
+    for i, items in enumerate(some):
+        last = i == len(some) - 1
+        out = _scanned(docs, items, window, "text", not last)
+        if last:
+            return out
+        before, docs = docs, written(out)
+        if i:
+            dropped(before)
+    raise AssertionError("there is a part")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs (doc_id, text).
 
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one window. Words
-    within any occurrence of a window are hit. Null and empty texts have no words. Items with a null item_id
-    hit words, but are not listed; equal item_ids are one item. With no item nothing is hit.
+    within any occurrence of a window are hit. Null and empty texts have no words; texts and items may be of any length and
+    number. Items with a null item_id hit words, but are not listed; equal item_ids are one item. With no item nothing is hit.
     """
-    spark = docs.sparkSession
-    tokens.bound_batches(spark)
-    tables = spark.sparkContext.broadcast(automaton(benchmark, window))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    tokens.bound_batches(docs.sparkSession)
+    ids = F.array_join("_items", ",")
+    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["b"])
+    out = _hit(docs.select("doc_id", "text"), benchmark, window)
+    return out.select("doc_id", F.col("_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, names = tables.value
-        for batch in batches:
-            n, hit, listed = [], [], []
-            for text in _batches(batch.column("text")):
-                words = text.translate(_FOLD).split()
-                spans, items = machine.hits(words)
-                n.append(len(words))
-                hit.append(sum(e - b for b, e in spans))
-                listed.append(sorted({names[i] for i in items} - {None}))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()), pa.array([sha256(",".join(x).encode()).hexdigest() for x in listed], pa.string()), pa.array([h > 0 for h in hit], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+def _without(text: bytes, spans: Sequence[tuple[int, int]]) -> bytes:
+    """text without the words of spans and what stands between them."""
+    codes = np.frombuffer(text.translate(_FOLD), np.uint8) != 32
+    starts = np.flatnonzero(codes & ~np.concatenate([[False], codes[:-1]]))
+    ends = np.flatnonzero(codes & ~np.concatenate([codes[1:], [False]])) + 1
+    out, at = [], 0
+    for b, e in spans:
+        out.append(text[at : starts[b]])
+        at = int(ends[e - 1])
+    return b"".join([*out, text[at:]])
 
 
 def cleaned(text: bytes, machine: Automaton, max_coverage: float) -> bytes | None:
     """text without hit spans; None if they cover more than max_coverage of its words. What moves together is looked at again."""
     first = True
     while True:
-        folded = text.translate(_FOLD)
-        words = folded.split()
+        words = text.translate(_FOLD).split()
         spans, _ = machine.hits(words)
         if not spans:
             return text
         if first and sum(e - b for b, e in spans) > max_coverage * len(words):
             return None
         first = False
-        codes = np.frombuffer(folded, np.uint8) != 32
-        starts = np.flatnonzero(codes & ~np.concatenate([[False], codes[:-1]]))
-        ends = np.flatnonzero(codes & ~np.concatenate([codes[1:], [False]])) + 1
-        out, at = [], 0
-        for b, e in spans:
-            out.append(text[at : starts[b]])
-            at = int(ends[e - 1])
-        text = b"".join([*out, text[at:]])
+        text = _without(text, spans)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
-    """docs without the spans that contamination() hits; a document of which they are more than max_coverage goes. Null texts stay."""
+    """docs without the spans that contamination() hits; a document of which they are more than max_coverage goes.
+
+    Null and empty texts stay, and so do repeated rows and all other columns. Where several automata are needed, all spans of a
+    text are found before any is taken out, round by round until none is left.
+    """
     tokens.bound_batches(docs.sparkSession)
-    tables = docs.sparkSession.sparkContext.broadcast(automaton(benchmark, window)[0])
+    some = parts(benchmark)
+    if len(some) > 1:
+        return _rounds(docs, some, window, max_coverage)
+    tables = docs.sparkSession.sparkContext.broadcast(automaton(some[0], window)[0])
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,3 +282,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
+
+
+def _rounds(docs: DataFrame, some: list[DataFrame], window: int, max_coverage: float) -> DataFrame:
+    """decontaminate() with several automata: rounds over written tables; rows in which nothing is hit any more are left aside."""
+    names, at = docs.columns, docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch], own: list[int]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
+            new = [_without(t.as_py(), [(x["b"], x["e"]) for x in s]) for t, s in zip(batch.column(own[at]).cast(pa.large_binary()), spans, strict=True)]
+            columns = [pa.array(new, pa.large_binary()).cast(batch.schema.field(i).type) if i == own[at] else batch.column(i) for i in own]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    done, first = None, True
+    while True:
+        found = docs
+        for items in some:
+            before, found = found, written(_scanned(found, items, window, "text", True))
+            if before is not docs:
+                dropped(before)
+        hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["b"])
+        clean = found.where("size(_spans) = 0").select(*names)
+        done = clean if done is None else done.unionByName(clean)
+        left = found.where("size(_spans) > 0")
+        left = left.where(hit <= max_coverage * F.col("_words")) if first else left
+        if left.isEmpty():
+            return done
+        first, own = False, [found.columns.index(c) for c in names]
+        docs = written(left.mapInArrow(partial(cut, own=own), docs.schema))
