@@ -1,4 +1,6 @@
-"""Line dedup: equal lines, and long lines one word apart, stay once, where they come first.
+"""Line dedup: equal lines, and lines one word apart, stay once, where they come first.
+
+The edit bound is one word, for lines of MIN_WORDS words or more: of shorter ones a word is more than a fifth.
 
 The deletion neighbourhood of a line holds the line without any one of its words. Two lines are within one
 word of each other just if (substitution) both lose the word at the same place and become equal, or
@@ -10,7 +12,7 @@ is met through its earliest line, so it costs its size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from larkspur.llm import tokens
-from larkspur.plans.session import broadcast_if_small, written
+from larkspur.plans.session import broadcast_if_small, drop_written, tables_written, written
 
+#: Words from which lines may differ by one: its edit similarity, 1 - 1 / words, is 0.8 or more.
+MIN_WORDS = 5
 _LINE = "line_no int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long"
 _FOLD = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
@@ -82,27 +86,36 @@ def _variants(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _within_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Those pairs of lines whose edit distance in words is one: what is left between the common head and tail is a word at most."""
+    """Those pairs of lines whose edit distance in words is one: what is left between the common head and tail is a word at most.
+
+    The common head and tail are found by halving, in the hashes of all beginnings and ends of a batch's lines at once.
+    """
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("line").to_pylist(), batch.column("other").to_pylist(), strict=True):
-            a, b = (t.encode().translate(_FOLD).split() for t in (x, y))
-            i, m = 0, min(len(a), len(b))
-            while i < m and a[i] == b[i]:
-                i += 1
-            j = 0
-            while j < m - i and a[-1 - j] == b[-1 - j]:
-                j += 1
-            keep.append(max(len(a), len(b)) - i - j <= 1)
-        part = batch.filter(pa.array(keep, pa.bool_()))
+        for x, y in zip(*(tokens.blocks(batch.column(c), size=1 << 40) for c in ("line", "other")), strict=True):
+            sums = [tokens.prefix_sums(t.words) for t in (x, y)]
+            begin, n = [t.bounds[:-1] for t in (x, y)], [np.diff(t.bounds) for t in (x, y)]
+
+            def longest(most: np.ndarray, of: Callable) -> np.ndarray:
+                low, high = np.zeros(len(most), np.int64), most.copy()
+                while (low < high).any():
+                    middle = (low + high + 1) // 2
+                    same = of(0, middle) == of(1, middle)
+                    low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+                return low
+
+            head = longest(np.minimum(*n), lambda i, k: tokens.spans(sums[i], begin[i], begin[i] + k))
+            tail = longest(np.minimum(*n) - head, lambda i, k: tokens.spans(sums[i], begin[i] + n[i] - k, begin[i] + n[i]))
+            keep.append(np.maximum(*n) - head - tail <= 1)
+        part = batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
         yield pa.RecordBatch.from_arrays([part.column("place")], names=["place"])
 
 
-def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """(doc_id, rid, line_no) of each line that goes: an earlier one is equal or, of min_words words or more, one word away.
+def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, rid, line_no) of each line that goes: an earlier one is equal or, if both have min_words (4 at least) words or more, one word away.
 
     docs: doc_id, rid, text. Earlier: smaller (doc_id, rid, line_no), a null doc_id last. A line is compared
-    with every earlier one, also with those that go themselves. Lines without a word are never dropped.
+    with every earlier one, also with those that go themselves. Lines without a word are never dropped; null and empty texts have none.
     """
     tokens.bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -161,17 +174,34 @@ def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     return again.unionByName(late.select("place.doc_id", "place.rid", "place.line_no"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines that dropped_lines() names taken out of text; columns n_lines and n_dropped are added, replacing any of that name.
 
     Lines are ended by line feeds. A null text stays null with no lines; an empty one has one line, which stays.
-    Rows with the same doc_id and text are one document: what goes from one goes from all.
+    Rows with the same doc_id and text are one document: what goes from one goes from all. A text of many lines costs
+    their number.
     """
     keep = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped", "rid", "own_id", "own_rid", "gone"}]
-    docs = docs.select(*keep).withColumn("rid", F.xxhash64("text"))
+    docs, earlier = docs.select(*keep).withColumn("rid", F.xxhash64("text")), tables_written()
     gone = dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("own_id"), F.col("rid").alias("own_rid")).agg(F.collect_set("line_no").alias("gone"))
-    gone = broadcast_if_small(written(gone))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["own_id"]) & (docs["rid"] == gone["own_rid"]), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.expr("array_join(transform(filter(transform(split(text, '\n', -1), (l, i) -> struct(i as i, l as l)), x -> not array_contains(gone, x.i)), x -> x.l), '\n')")
-    return out.select(*(c for c in keep if c != "text"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped")).select(*keep, "n_lines", "n_dropped")
+    gone = written(gone)
+    drop_written(earlier, keep=[gone])
+    out = docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(gone["own_id"]) & (docs["rid"] == gone["own_rid"]), "left")
+    at = keep.index("text")
+
+    def taken_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, n, lost = [], [], []
+            for value, numbers in zip(batch.column(at).cast(pa.large_binary()), batch.column(len(keep)), strict=True):
+                text, numbers = value.as_py(), numbers.as_py()
+                n.append(0 if text is None else text.count(b"\n") + 1)
+                lost.append(len(numbers or ()))
+                if numbers:
+                    lines, out = text.split(b"\n"), set(numbers)
+                    text = b"\n".join(x for i, x in enumerate(lines) if i not in out)
+                texts.append(text)
+            columns = [pa.array(texts, pa.large_binary()).cast(batch.schema.field(i).type) if i == at else batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=[*keep, "n_lines", "n_dropped"])
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return out.select(*keep, "gone").mapInArrow(taken_out, f"{kinds}, n_lines long, n_dropped long")

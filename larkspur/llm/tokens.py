@@ -83,14 +83,14 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def blocks(column: pa.Array, lower: bool = True) -> Iterator[Block]:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text, hashed; A-Z count as a-z if lower."""
+def blocks(column: pa.Array, lower: bool = True, size: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Words `[^\\x20\\x09-\\x0D]+` of each text, hashed, about size bytes at a time; A-Z count as a-z if lower."""
     if not len(column):
         return
     data, offsets = texts(column)
     at = 0
     while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield _block((at, to), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower)
         at = to
 
