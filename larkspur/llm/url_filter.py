@@ -11,15 +11,15 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.plans.session import written
+from larkspur.plans.session import dropped, written
 
 #: (verdict, host and path); a rule fits its host and all subdomains if the path begins with its own. Fixed values.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING, ROUNDS, LIMIT = 0.85, 10, 0.5
 #: Rounds go on until the masses of a way change by no more than this in sum over CUT rounds; ROUNDS is the least number of them.
 TOLERANCE = 1e-9
-#: Rounds between two written tables.
-CUT = 5
+#: Rounds between two written tables, and edges of a host in a part.
+CUT, HUB = 5, 10_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -50,21 +50,28 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping
 
     Each round is a join and a sum over edges. Mass of hosts without edges leaves. What is left to move after
     CUT rounds is less than what they moved, as damping ** CUT is below a half: about 130 rounds do for any graph.
+    A host's edges are dealt to parts of about HUB, and its mass to each of them, so a hub is no single task.
     """
-    out = edges.groupBy("way", "a").agg(F.count("*").alias("d"))
-    edges = written(edges.join(out, ["way", "a"]))
+    out = edges.groupBy("way", "a").agg(F.count("*").alias("d")).withColumn("parts", F.ceil(F.col("d") / HUB).cast("int"))
+    out = written(out)
+    edges = written(edges.join(out, ["way", "a"]).select("way", "a", F.pmod(F.hash("b"), F.col("parts")).alias("part"), "b", "d"))
     seeds = written(seeds)
     start = seeds.withColumn("mass", F.col("mass") * (1 - damping))
-    now = before = start
+    spread = out.select("way", F.col("a").alias("host"), "parts")
+    now, before = start, None
     for i in count(1):
-        moved = edges.join(now.withColumnRenamed("host", "a"), ["way", "a"]).groupBy("way", F.col("b").alias("host")).agg((damping * F.sum(F.col("mass") / F.col("d"))).alias("mass"))
+        dealt = now.join(spread, ["way", "host"]).select("way", F.col("host").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "mass")
+        moved = edges.join(dealt, ["way", "a", "part"]).groupBy("way", F.col("b").alias("host")).agg((damping * F.sum(F.col("mass") / F.col("d"))).alias("mass"))
         now = start.unionByName(moved).groupBy("way", "host").agg(F.sum("mass").alias("mass"))
         if i % CUT == 0:
             now = written(now)
-            if i >= rounds:
-                moved = now.unionByName(before.withColumn("mass", -F.col("mass"))).groupBy("way", "host").agg(F.sum("mass").alias("mass"))
-                if not moved.groupBy("way").agg(F.sum(F.abs("mass")).alias("change")).where(F.col("change") > tolerance).count():
-                    return now
+            moved = now.unionByName((before if before is not None else start).withColumn("mass", -F.col("mass"))).groupBy("way", "host").agg(F.sum("mass").alias("mass"))
+            done = i >= rounds and not moved.groupBy("way").agg(F.sum(F.abs("mass")).alias("change")).where(F.col("change") > tolerance).count()
+            if before is not None:
+                dropped(before)
+            if done:
+                dropped(edges, out, seeds)
+                return now
             before = now
 
 
@@ -73,18 +80,18 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: flo
 
     verdict is that of the longest fitting rule; without one it is `block` if the host's distrust is more than
     limit of its trust and distrust together, else `allow`. Hosts are trusted by the share of their pages that
-    rules allow, and seeds of distrust by the share that rules without a longer path block. Links are
-    absolute href values in html; those within a host count for nothing. A null or empty html has none. Pages
-    without a host have no mass. Equal rows are judged alike.
+    rules allow, and seeds of distrust by the share that rules block. Links are href values in html that
+    name a host; those within a host, as relative ones all are, count for nothing. A null or empty html has none, one of
+    any length is read whole. Pages without a host have no mass. Equal rows are judged alike; other columns of pages are
+    left out, whatever their names.
     """
     known = pages.select("page_id", "url", "html").withColumn("host", host()).withColumn("path", path()).withColumn("found", _ruled(rules))
     links = known.where("host <> ''").select("host", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_LINK), 1))).alias("to"))
     links = links.select(F.col("host").alias("a"), F.translate("to", _UPPER, _LOWER).alias("b")).where("a <> b").distinct()
     links = written(links)
     edges = links.select(F.lit("trust").alias("way"), "a", "b").unionByName(links.select(F.lit("distrust").alias("way"), F.col("b").alias("a"), F.col("a").alias("b")))
-    whole = [r for v, r in rules if v == "block" and r.partition("/")[2] == ""]
-    blocked = F.col("found.rule").isin(whole) if whole else F.lit(False)
-    hosts = known.where("host <> ''").groupBy("host").agg(F.avg((F.coalesce(F.col("found.verdict") == "allow", F.lit(False))).cast("double")).alias("trust"), F.avg(F.coalesce(blocked, F.lit(False)).cast("double")).alias("distrust"))
+    share = lambda verdict: F.avg(F.coalesce(F.col("found.verdict") == verdict, F.lit(False)).cast("double"))
+    hosts = known.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     seeds = hosts.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("way"), F.col("trust").alias("mass")), F.struct(F.lit("distrust").alias("way"), F.col("distrust").alias("mass")))).alias("s")).select("s.way", "host", "s.mass").where("mass > 0")
     sums = seeds.groupBy("way").agg(F.sum("mass").alias("all"))
     mass = propagated(edges, seeds.join(F.broadcast(sums), "way").select("way", "host", (F.col("mass") / F.col("all")).alias("mass")))  # two rows
