@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from larkspur.llm import tokens
 from larkspur.llm.components import components
-from larkspur.plans.session import broadcast_if_small, written
+from larkspur.plans.session import broadcast_if_small, drop_written, tables_written, written
 
 #: Documents at most, about, whose n-grams tell which columns are frequent, and the number of these: they change the order of columns, never a result.
 SAMPLE_DOCS, FREQUENT = 5_000, 1 << 18
@@ -72,8 +72,8 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     top = sample.select("text").mapInArrow(grams, "g long").groupBy("g").count().where("count >= 3").orderBy(F.desc("count"), "g").limit(FREQUENT)
-    rows = top.toPandas()
-    hashes, counts = rows["g"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy()
+    rows = top.toArrow()
+    hashes, counts = rows.column("g").to_numpy().view(np.uint64), rows.column("count").to_numpy()
     ranks = np.empty(len(rows), np.int64)
     ranks[np.lexsort((hashes, counts))] = np.arange(len(rows))
     order = np.argsort(hashes)
@@ -92,7 +92,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, carry: Sequence[
     more than their least id; it is null for a text without words.
     """
     docs = docs.select("doc_id", "text", *carry)
-    spark = docs.sparkSession
+    spark, earlier = docs.sparkSession, tables_written()
     tokens.bound_batches(spark)
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
 
@@ -157,6 +157,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, carry: Sequence[
     more = across.select(F.col("x.node").alias("p"), F.col("y.node").alias("x")).distinct()
     more = more.join(pairs, ["p", "x"], "left_anti").join(pairs.select(F.col("p").alias("x"), F.col("x").alias("p")), ["p", "x"], "left_anti")
     found = components(links.unionByName(_verified(docs, classes, written(more), frequent, width, percent)))
+    drop_written(earlier, keep=[rows, found])
 
     out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", *carry, *(["root"] if carry else [])]
     member = rows.select("doc_id", *carry, "n", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -173,6 +174,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, frequent: B
     bits, which can only add to an overlap; where a few more would decide, the whole columns are multiplied.
     """
 
+    earlier = tables_written()
+
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = frequent.value
         for batch in batches:
@@ -210,15 +213,19 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, frequent: B
     short = written(_multiplied(texts(left).mapInArrow(whole(32), row.format("int")), percent, "short"))
     unsure = written(short.where("not sure").select("p", F.col("node").alias("x")))
     long = _multiplied(texts(unsure).mapInArrow(whole(64), row.format("long")), percent, "whole")
-    return written(short.where("sure").unionByName(long).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
+    links = written(short.where("sure").unionByName(long).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
+    drop_written(earlier, keep=[links])
+    return links
 
 
 def _to(pairs: DataFrame) -> DataFrame:
-    """(node, to): the blocks that each set goes to. The sets that meet p are dealt to blocks of about BLOCK_ROWS, p goes to each of its blocks."""
+    """(node, to): the blocks that each set goes to, in lists of about BLOCK_ROWS. The sets that meet p are dealt to blocks of about as many, p goes to each of its blocks."""
     parts = written(pairs.groupBy("p").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")))
     dealt = pairs.join(parts, "p").select(F.col("x").alias("node"), "p", F.pmod(F.hash("x"), F.col("parts")).alias("part"), F.lit(False).alias("own"))
     own = parts.select(F.col("p").alias("node"), "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("own"))
-    return dealt.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("p", "part", "own")).alias("to"))
+    both = written(dealt.unionByName(own))
+    lists = both.groupBy("node").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("lists"))
+    return both.join(lists, "node").groupBy("node", F.pmod(F.hash("p", "part"), F.col("lists")).alias("list")).agg(F.collect_list(F.struct("p", "part", "own")).alias("to")).select("node", "to")
 
 
 def _sent(to: list[dict], node: int, n: int, cols: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from larkspur.llm import tokens
 from larkspur.llm.language_id import held_out
-from larkspur.plans.session import written
+from larkspur.plans.session import dropped, written
 
 #: Labelled rows to learn from, about: a sample by hash of doc_id, all if there are fewer. Random features; ridge penalty for each row.
 SAMPLE_ROWS, FEATURES, PENALTY = 20_000, 512, 1e-3
@@ -94,8 +94,11 @@ def _isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict | None:
-    """A model of label (0 or 1) from the texts of docs; None if there is no label. Rows of labels without an id or label are left out."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("own"), F.col(label).cast("double").alias("y"))
+    """A model of label (0 or 1) from the texts of docs; None if there is no label.
+
+    Rows of labels without an id or label are left out; of several labels of an id the least counts, of several texts one.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("own")).agg(F.min(F.col(label).cast("double")).alias("y"))
     total = known.count()
     if not total:
         return None
@@ -106,10 +109,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict |
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([tokens.lists(x.ravel(), np.full(len(x), x.shape[1])), batch.column("y"), batch.column("later")], names=["x", "y", "later"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), tokens.lists(x.ravel(), np.full(len(x), x.shape[1])), batch.column("y"), batch.column("later")], names=["own", "x", "y", "later"])
 
-    joined = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("own")).select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(33)), F.lit(4)) == 0).alias("later"))
-    table = written(joined.mapInArrow(stats, "x array<double>, y double, later boolean"))
+    joined = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("own")).select("own", "text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(33)), F.lit(4)) == 0).alias("later"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    read = joined.mapInArrow(stats, f"own {kind}, x array<double>, y double, later boolean")
+    # an id of many rows is one row of the sample
+    table = written(read.groupBy("own").agg(F.min(F.struct("x", "y", "later")).alias("s")).select("s.*"))
     first = table.where("not later")
     sums = _sums(first, lambda x, y: np.vstack([x, x**2, np.ones_like(x)]).reshape(3, *x.shape).sum(1))
     if not len(sums):
@@ -127,11 +133,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict |
 
     both = _sums(first, equations).reshape(FEATURES + 1, FEATURES + 2)
     model["beta"] = np.linalg.solve(both[:, :-1] + PENALTY * n[0] / FEATURES * np.eye(FEATURES + 1), both[:, -1])
-    later = table.where("later").select("x", "y").toPandas()  # a part of the bounded sample
-    if len(later) < 20 or later["y"].nunique() < 2:
+    later = table.where("later").select("x", "y").toArrow()  # a part of the bounded sample
+    y = later.column("y").to_numpy()
+    if len(y) < 20 or len(np.unique(y)) < 2:
         model["knots"] = np.array([0.0, 1.0]), np.array([0.0, 1.0])
     else:
-        model["knots"] = _isotonic(_spread(np.stack(later["x"]), model) @ model["beta"], later["y"].to_numpy())
+        x = later.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+        model["knots"] = _isotonic(_spread(x, model) @ model["beta"], y)
+    dropped(table)
     return model
 
 
