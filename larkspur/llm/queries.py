@@ -23,7 +23,8 @@ documents, embeddings, pages, benchmark, labels, conversations = map(_table, ("d
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_passages(documents(spark, sf_dir))
+    spans = F.transform("spans", lambda x: F.concat(x["begin"], F.lit("-"), x["end"], F.when(x["removed"], "r").otherwise("")))
+    return suffix_dedup.repeated_passages(documents(spark, sf_dir)).withColumn("spans", F.array_join(spans, ","))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(pages(spark, sf_dir))
+    return url_filter.judge(pages(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,21 +79,38 @@ SQL: dict[str, str] = {}
 SQL["op2_mixing"] = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint as k from documents
-), c as (select source, k // 4194304 as cell, sum(size)::bigint as n from d group by all),
-b as (select source, cell, n, (sum(n) over (partition by source order by cell) - n)::bigint as before from c),
-s as (select source, sum(size)::bigint as source_size, row_number() over (order by encode(source) nulls last) - 1 as rank from d group by source),
+         ('0x' || substr(md5(coalesce(doc_id::varchar, md5(coalesce(text, '')))), 1, 8))::bigint as k from documents
+), s as (select source, sum(size)::bigint as source_size, row_number() over (order by encode(source) nulls last) - 1 as rank from d group by source),
 w as (select *, ([5, 2, 1])[(rank % 3 + 1)::int]::bigint as w, 3 * source_size as bound from s),
 l as (select *, ((sum(source_size) over ())::double - coalesce(sum(bound) over (order by bound / w, rank rows between unbounded preceding and 1 preceding), 0)::double)
              / (sum(w) over (order by bound / w, rank rows between current row and unbounded following))::double as level from w),
 t as (select source, source_size, case when level * w <= bound
         then (select arg_min(level, (bound / w, rank)) from l where level * w <= bound) * w else bound::double end as target from l),
-p as (select d.doc_id, d.size, t.source_size, t.target, b.before + b.n * ((d.k % 4194304) / 4194304.0::double) as place
-      from d join t on d.source is not distinct from t.source join b on d.source is not distinct from b.source and d.k // 4194304 = b.cell)
+p as (select d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::double as place
+      from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,
        (size * ((place + size / 2 < target)::int + (source_size + place + size / 2 < target)::int + (2 * source_size + place + size / 2 < target)::int))::bigint as taken from p
 """
 
+SQL["op1_suffix_dedup"] = r"""
+with d as (
+  select row_number() over () as r, doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), t as (select text, row_number() over () as tid, any_value(w) as w, min(doc_id) as first, max(doc_id) as last from d where len(w) >= 50 group by text
+), g as (select tid, first, unnest(range(0, len(w) - 49)) as p, w from t
+), k as (select tid, first, p, md5(array_to_string(w[p + 1 : p + 50], ' ')) as g from g
+), m as (select k.tid, k.p, s.first < k.first as late from k join (select g, min(first) as first from k group by g having count(distinct tid) > 1) s using (g)
+), o as (select tid, p, late, coalesce(p - lag(p) over (partition by tid, late order by p) > 50, true)::int as opens from (select distinct * from m)
+), i as (select tid, late, p, sum(opens) over (partition by tid, late order by p) as i from o
+), x as (select tid, late, min(p) as b, max(p) + 50 as e from i group by tid, late, i
+), y as (select tid, string_agg(b || '-' || e || case when late then 'r' else '' end, ',' order by late, b) as spans, string_agg(b || '-' || e || 'r', ',' order by b) filter (late) as late_spans from x group by tid
+), q as (select tid, unnest(range(p, p + 50)) as q, late from m
+), c as (select tid, count(distinct q) as n, count(distinct q) filter (late) as nl from q group by tid
+), z as (select d.doc_id, len(d.w)::bigint as n_words, t.first, t.last, coalesce(c.n, 0) as n, coalesce(c.nl, 0) as nl, coalesce(y.spans, '') as spans, coalesce(y.late_spans, '') as late_spans
+         from d left join t using (text) left join c using (tid) left join y using (tid))
+select doc_id, n_words, case when first = last or first is null then n else n_words end::bigint as n_repeated, case when first = last or first is null or first = doc_id then nl else n_words end::bigint as n_removed,
+       case when first = last or first is null then spans when first <> doc_id then '0-' || n_words || 'r' else concat_ws(',', '0-' || n_words, nullif(late_spans, '')) end as spans from z
+"""
+
 SQL["op5_decontaminate"] = r"""
 with norm(s) as (select 1), d as (
   select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
@@ -132,3 +150,23 @@ with recursive d as (
 ), q as (select k.r, t.r as rep from k join t on k.g = t.g), z as (select c.a, min(d.doc_id) as component_id from c join q on q.rep = c.b join d on d.r = q.r group by c.a)
 select d.doc_id, k.n::bigint as n_shingles, coalesce(z.component_id, d.doc_id) as component_id from d join k using (r) left join q using (r) left join z on z.a = q.rep
 """
+
+_LINK = r"""(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)"""
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+SQL["op10_url_filter"] = rf"""
+with recursive p as (
+  select row_number() over () as r, page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_ASCII}) as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages
+), k as (select *, case when ('.' || host) like '%.example.net' and path like '/en/%' then 'example.net/en/' when ('.' || host) like '%.example.com' and path like '/de/%' then 'example.com/de/'
+          when ('.' || host) like '%.org' and path like '/fr/%' then 'org/fr/' when ('.' || host) like '%.net' and path like '/%' then 'net/' end as rule from p
+), v as (select *, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' end as ruled from k
+), l as (select distinct host as a, translate(b, {_ASCII}) as b from (select host, unnest(regexp_extract_all(html, '{_LINK}', 1)) as b from v where host <> '') where host <> translate(b, {_ASCII})
+), e as (select 'trust' as way, a, b from l union all select 'distrust', b, a from l
+), d as (select way, a, b, count(*) over (partition by way, a) as d from e
+), h as (select host, avg(coalesce(ruled = 'allow', false)::int) as trust, avg(coalesce(ruled = 'block', false)::int) as distrust from v where host <> '' group by host
+), s as (select 'trust' as way, host, trust / (select sum(trust) from h) as mass from h where trust > 0 union all select 'distrust', host, distrust / (select sum(distrust) from h) from h where distrust > 0
+), t as (select 0 as i, way, host, 0.15::double * mass as mass from s union all select t.i + 1, d.way, d.b, 0.85::double * sum(t.mass / d.d) from t join d on d.way = t.way and d.a = t.host where t.i < 150 group by t.i + 1, d.way, d.b
+), m as (select host, coalesce(sum(mass) filter (way = 'trust'), 0) as trust, coalesce(sum(mass) filter (way = 'distrust'), 0) as distrust from t group by host)
+select page_id, v.host, path, rule, coalesce(ruled, case when distrust > 0.5 * (trust + distrust) then 'block' else 'allow' end) as verdict, round(coalesce(trust, 0), 6) as trust, round(coalesce(distrust, 0), 6) as distrust
+from v left join m using (host)
+"""
