@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from larkspur.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
-from larkspur.plans.session import written
+from larkspur.plans.session import drop_written, tables_written, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language is told with less than even odds, go."""
+    """Documents without a letter, and those whose language is told with less than even odds, go.
+
+    So null and empty texts go; a null id or lang is no reason to. Texts of any length are read whole, equal rows fare alike.
+    """
     return language_id.in_known_language(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document that has none left goes."""
+    """Repeated lines go; a document that has none left goes. Null texts and those without a word stay as they are, rows that share id and text fare alike."""
     out = line_dedup.dedup_lines(docs).where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -34,13 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark go, and documents that are such for more than half."""
+    """Passages of benchmark go, and documents that are such for more than half. Null and empty texts stay, a null id is an id, texts of any length are read whole."""
     out = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, each copy a row."""
+    """Documents in training order, each copy a row. A null source is a source, a null or empty text has no words and comes once at its place."""
     return mixing.mix(docs)
 
 
@@ -50,9 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; what a stage wrote on its way goes when its result is written."""
+    docs, earlier = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_written()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs)
+            drop_written(earlier, keep=[docs])
     return docs
