@@ -86,8 +86,8 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
 
 
-def tag_tfidf(df: DataFrame, tag: str, tokens: str) -> DataFrame:
-    """(tag, token, score): tf * ln(tags / tags with the token), over distinct token sequences, each tag's scores sum to 1."""
+def tag_tfidf(df: DataFrame, tag: str, tokens: str, normal: bool = True) -> DataFrame:
+    """(tag, token, score): tf * ln(tags / tags with the token), over distinct token sequences; each tag's scores sum to 1 if normal."""
     from larkspur.plans.session import written
 
     rows = df.select(tag, tokens).withColumn("_h", F.struct(F.xxhash64(tokens), F.hash(tokens), F.size(tokens)))
@@ -96,7 +96,8 @@ def tag_tfidf(df: DataFrame, tag: str, tokens: str) -> DataFrame:
     n = tf.agg(F.countDistinct(tag).alias("tags"))
     df_ = tf.groupBy("token").agg(F.count("*").alias("df"))
     scored = tf.join(df_, "token").join(F.broadcast(n)).withColumn("s", F.col("tf") * F.log(F.col("tags") / F.col("df")))  # one row
-    return scored.withColumn("score", F.try_divide(F.col("s"), F.sum("s").over(Window.partitionBy(tag)))).select(tag, "token", "score")
+    score = F.try_divide(F.col("s"), F.sum("s").over(Window.partitionBy(tag))) if normal else F.col("s")
+    return scored.withColumn("score", score).select(tag, "token", "score")
 
 
 def cooccurrence(df: DataFrame, key: str, tokens: str, entity: str) -> DataFrame:
@@ -205,9 +206,27 @@ def optimal_threshold(curve: DataFrame, optimize: str = "f1") -> DataFrame:
         "prec/recall": (curve.where("recall > 0"), F.struct(-F.abs(F.col("precision") / F.col("recall") - x), "threshold")),
         "accuracy": (curve, F.struct(F.col("tp") + F.col("tn"), "threshold")),
     }.get(kind, (curve, F.struct("f1", "threshold")))
-    best = rows.agg(F.max_by(F.struct(*curve.columns), by).alias("b"))
-    return best.select(F.coalesce("b.threshold", F.lit(0.0)).alias("threshold"), *(F.col(f"b.{c}").alias(c) for c in curve.columns if c != "threshold"))
+    columns = [c for c in curve.columns if c != "_area"]
+    best = rows.agg(F.max_by(F.struct(*columns), by).alias("b"))
+    return best.select(F.coalesce("b.threshold", F.lit(0.0)).alias("threshold"), *(F.col(f"b.{c}").alias(c) for c in columns if c != "threshold"))
+
+
+def base_threshold(curve: DataFrame) -> DataFrame:
+    """The row of curves() at the least threshold of one half or more, else at the greatest below."""
+    t = F.col("threshold")
+    return curve.drop("_area").orderBy((t < 0.5).asc(), F.when(t >= 0.5, t).asc(), t.desc()).limit(1)
 
 
 def union_all(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
+
+
+def top_n(rows: Column, n: int, smallest: bool = False) -> Column:
+    """The n greatest or smallest elements of an array, in order."""
+    ordered = F.sort_array(rows, asc=smallest)
+    return F.slice(ordered, 1, n)
+
+
+def zip_longest(a: Column, b: Column, default_a: Column, default_b: Column) -> Column:
+    """An array of structs a, b of both arrays' elements, the shorter one filled up with its default, and nulls, too."""
+    return F.zip_with(a, b, lambda x, y: F.struct(F.coalesce(x, default_a).alias("a"), F.coalesce(y, default_b).alias("b")))

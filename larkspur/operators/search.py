@@ -1,129 +1,344 @@
-"""Text lookup joins: the best row of a table for a query by BM25, all in one plan of joins and sums."""
+"""Text lookup joins: the best row of a table for a query by BM25, all in joins and sums."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions import text as X
-from larkspur.plans.session import written
+from larkspur.plans.session import broadcast_if_small, written
 
 K1, B = 1.2, 0.75
+#: What parts the words of a query. Fixed value.
+QUERY_BREAK = r"[^\p{L}]+"
 
 
-def index(table: DataFrame, key: str, text: str, acronyms: bool = False) -> DataFrame:
-    """Postings (token, key, tf, dl) of a table; they can be written and read again, and merged by union."""
-    words = acronym_tokens(text) if acronyms else X.tokens(text)
-    rows = table.select(F.col(key).alias("_key"), words.alias("t")).where("t is not null").select("_key", F.size("t").alias("dl"), F.explode("t").alias("token"))
+def index(table: DataFrame, key: str, text: str, acronyms: bool = False, whole: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """Postings (token, _key, tf, dl) of a table, and for each row with a token one of the token '' that has its dl.
+
+    They can be written and read again, and united. whole takes each text as one token. only, written tokens, is what
+    postings are kept of: the table is read once, and no others are shuffled.
+    """
+    if whole:
+        words = F.array(F.lower(F.col(text)))
+    else:
+        words = acronym_tokens(text) if acronyms else X.tokens(text)
+    rows = table.select(F.col(key).alias("_key"), words.alias("t")).where("size(t) > 0")
+    rows = rows.select("_key", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token"))
+    if only is not None:
+        rows = rows.join(broadcast_if_small(only), "token")
     return rows.groupBy("token", "_key", "dl").agg(F.count("*").alias("tf"))
 
 
+def write_index(postings: DataFrame, path: str) -> None:
+    """Stores postings, those of a token together."""
+    postings.repartition("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+
+
+def merged_index(*postings: DataFrame) -> DataFrame:
+    """One index of several whose keys are different: what is known of tokens is of all of them."""
+    return reduce(DataFrame.unionByName, postings)
+
+
 def acronym_tokens(x: Column | str) -> Column:
-    """Tokens lower-cased; two capitals are doubled, so that they weigh as a term of their own."""
-    return F.transform(X.tokens(x, lower=False), lambda t: F.when(t.rlike("^[A-Z]{2}$"), F.repeat(t, 2)).otherwise(F.lower(t)))
+    """Tokens lower-cased; two capitals are doubled, so that they weigh as a term of their own, single signs are left out."""
+    return F.transform(F.filter(X.tokens(x, lower=False), lambda t: F.length(t) > 1), lambda t: F.when(t.rlike("^[A-Z]{2}$"), F.repeat(t, 2)).otherwise(F.lower(t)))
 
 
 def weighed(postings: DataFrame) -> DataFrame:
     """Postings with w, the BM25 weight of a token in a row, by the statistics of the whole index."""
-    rows = postings.select("_key", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    rows = postings.where("token = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    real = postings.where("token <> ''")
+    df = real.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(df, "token").join(F.broadcast(rows)).select("token", "_key", w.alias("w"))  # one row
+    return real.join(df, "token").join(F.broadcast(rows)).select("token", "_key", w.alias("w"))  # one row
+
+
+def _terms(queries: DataFrame, terms: DataFrame, max_edits: int, prefix_length: int) -> DataFrame:
+    """(token, term, times): the terms that each token of queries asks for: itself, four times as much with max_edits, and then, for more than two letters, those as near that begin alike."""
+    asked = queries.select("token").distinct()
+    own = asked.select("token", F.col("token").alias("term"), F.lit(4.0 if max_edits else 1.0).alias("times"))
+    if not max_edits:
+        return own
+    prefix = lambda c: F.substring(c, 1, prefix_length)
+    known = terms.select(F.col("token").alias("term")).distinct().withColumn("p", prefix("term")).withColumn("n", F.length("term"))
+    # within the bound lengths differ by it at most: prefix and length find candidates by a hash join
+    some = asked.where(F.length("token") > 2).withColumn("p", prefix("token")).withColumn("n", F.explode(F.sequence(F.length("token") - max_edits, F.length("token") + max_edits)))
+    near = some.join(known, ["p", "n"]).where(F.levenshtein("token", "term", max_edits) >= 0).select("token", "term", F.lit(1.0).alias("times"))
+    return own.unionByName(near).groupBy("token", "term").agg(F.sum("times").alias("times"))
+
+
+def contributions(queries: DataFrame, postings: DataFrame, max_edits: int = 0, prefix_length: int = 1) -> DataFrame:
+    """queries (q, token, boost and more) with _key and s, what the token adds to the score of that row."""
+    terms = _terms(queries, postings, max_edits, prefix_length)
+    return queries.join(terms, "token").join(weighed(postings).withColumnRenamed("token", "term"), "term").withColumn("s", F.col("boost") * F.col("times") * F.col("w")).drop("term", "times", "w")
 
 
 def scores(queries: DataFrame, postings: DataFrame, max_edits: int = 0, prefix_length: int = 1) -> DataFrame:
-    """(q, key, score, tags) of queries (q, token, boost): with max_edits, terms of more than two letters also match terms one edit away with the same prefix, exact ones four times as much."""
-    index = weighed(postings)
-    exact = queries.join(index, "token").select("q", "_key", "token", (F.col("boost") * F.col("w") * (4 if max_edits else 1)).alias("s"))
-    if max_edits:
-        prefix = lambda c: F.substring(c, 1, prefix_length)
-        terms = postings.select(F.col("token").alias("term")).distinct().withColumn("p", prefix("term"))
-        asked = queries.where(F.length("token") > 2).select("token").distinct().withColumn("p", prefix("token"))
-        near = asked.join(terms, "p").where(F.levenshtein("token", "term", max_edits) >= 0).select("token", "term")
-        fuzzy = queries.join(near, "token").join(index.withColumnRenamed("token", "term"), "term").select("q", "_key", "token", (F.col("boost") * F.col("w")).alias("s"))
-        exact = exact.unionByName(fuzzy)
-    return exact.groupBy("q", "_key").agg(F.sum("s").alias("score"), F.array_sort(F.collect_set("token")).alias("tags"))
+    """(q, _key, score, tags) of queries (q, token, boost); tags are the tokens that matched."""
+    found = contributions(queries, postings, max_edits, prefix_length)
+    return found.groupBy("q", "_key").agg(F.sum("s").alias("score"), F.array_sort(F.collect_set("token")).alias("tags"))
 
 
-def best(scored: DataFrame, min_score: float = 0.0, popularity: DataFrame | None = None, digits: int = 6) -> DataFrame:
-    """The row with the highest score of each query, the smallest key of equals; popularity (key, pop) multiplies the score."""
+def best(scored: DataFrame, min_score: float = 0.0, popularity: DataFrame | None = None, digits: int = 6, hits: int = 1) -> DataFrame:
+    """The rows with the highest scores of each query, `hits` of them, the smallest key of equals first; popularity (_key, pop) multiplies the score."""
     if popularity is not None:
         scored = scored.join(popularity, "_key").withColumn("score", F.col("score") * F.col("pop"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", digits)), "_key"))
-    return scored.where(F.col("score") >= min_score).withColumn("_rn", rank).where("_rn = 1").drop("_rn")
+    scored = scored.where(F.col("score") >= min_score)
+    by = F.struct((-F.round("score", digits)).alias("_s"), F.col("_key").alias("_k"))
+    if hits == 1:  # partial aggregates: a row for each query leaves a partition
+        return scored.groupBy("q").agg(F.min_by(F.struct(*scored.columns), by).alias("b")).select("b.*")
+    return scored.withColumn("_rn", F.row_number().over(Window.partitionBy("q").orderBy(by))).where(F.col("_rn") <= hits).drop("_rn")
+
+
+def best_of(*found: DataFrame) -> DataFrame:
+    """Of the best rows of several indexes, each with statistics of its own, those with the strictly highest score; of equals the first index's."""
+    every = reduce(DataFrame.unionByName, (f.withColumn("_from", F.lit(i)) for i, f in enumerate(found)))
+    return every.groupBy("q").agg(F.max_by(F.struct(*found[0].columns), F.struct("score", -F.col("_from"))).alias("b")).select("b.*")
+
+
+# --- strategies: which tokens of a query count
 
 
 def predicted_span(words: Column, weights: Column) -> Column:
     """Around the greatest weight, if above 0.75, up to two words either way of more than 0.75 of it; the words of that span."""
+    begin, n = _span(weights)
+    return F.when(n > 0, F.slice(words, begin + 1, n)).otherwise(F.array().cast("array<string>"))
+
+
+def _span(weights: Column) -> tuple[Column, Column]:
+    """Begin and length of the predicted span."""
     top = F.array_max(weights)
-    at = F.array_position(weights, top) - 1
-    strong = lambda i: F.coalesce(F.get(weights, i) > 0.75 * top, F.lit(False))
+    at = (F.array_position(weights, top) - 1).cast("int")
+    strong = lambda i: F.coalesce(F.when(i >= 0, F.get(weights, i)) > 0.75 * top, F.lit(False))
     left = F.when(strong(at - 2), at - 2).when(strong(at - 1), at - 1).otherwise(at)
     right = F.when(strong(at + 2), at + 2).when(strong(at + 1), at + 1).otherwise(at)
-    return F.when(top > 0.75, F.slice(words, (F.greatest(left, F.lit(0)) + 1).cast("int"), (right - F.greatest(left, F.lit(0)) + 1).cast("int"))).otherwise(F.array().cast("array<string>"))
+    return left, F.when(top > 0.75, right - left + 1).otherwise(0)
+
+
+def _standard(asked: DataFrame, search: Callable, max_edits: int) -> DataFrame:
+    """All tokens."""
+    return search(_weighted(asked, 0.4, max_edits))
+
+
+def _predict(asked: DataFrame, search: Callable, max_edits: int) -> DataFrame:
+    """The tokens of the predicted span, which then all count wholly; without weights all tokens."""
+    if "_ws" not in asked.columns:
+        return search(asked)
+    begin, n = _span(F.col("_ws"))
+    inside = asked.where((F.col("at") >= begin) & (F.col("at") < begin + n))
+    return search(inside)
+
+
+def _ngram(asked: DataFrame, search: Callable, max_edits: int, n_ngrams: int = 3) -> DataFrame:
+    """Of queries of more than n_ngrams tokens the best window of so many, grown to either side while its best score rises; -1 turns that off."""
+    asked = _weighted(asked, 0.6, max_edits)
+    return search(asked) if n_ngrams < 0 else search(asked, window=n_ngrams)
+
+
+def _weighted(asked: DataFrame, least: float, max_edits: int) -> DataFrame:
+    """Tokens below least are left out, from 0.8 on they count wholly; fuzzy ones by their weight."""
+    if "_w" not in asked.columns:
+        return asked
+    w = F.col("_w")
+    if max_edits:
+        return asked.withColumn("boost", F.col("boost") * w)
+    return asked.where(w >= least).withColumn("boost", F.col("boost") * F.when(w < 0.8, w).otherwise(1.0))
+
+
+STRATEGIES: dict[str, Callable] = {"standard": _standard, "ngram": _ngram, "predict": _predict}
+
+
+def best_window(found: DataFrame, n: int = 3, min_score: float = 0.0) -> DataFrame:
+    """N-gram strategy over contributions found (q, _key, at, s, size): the best window of n tokens, the first of equals, grown by the token to its left or right while its best score rises.
+
+    Returns (q, _key, score, start, stop). Each round is a sum over contributions, so a query may meet any number of rows;
+    a direction that once brought nothing is left.
+    """
+    found = written(found.select("q", "_key", "at", "s", "size"))
+    low, high = F.greatest(F.col("at") - n + 1, F.lit(0)), F.least("at", F.greatest(F.col("size") - n, F.lit(0)))
+    windows = found.where(low <= high).withColumn("start", F.explode(F.sequence(low, high))).groupBy("q", "start", "_key").agg(F.sum("s").alias("score"), F.first("size").alias("size"))
+    state = windows.groupBy("q").agg(F.min_by(F.struct("_key", "score", "start", "size"), F.struct(-F.round("score", 9), "start", "_key")).alias("b")).select("q", "b.*")
+    state = written(state.withColumn("stop", F.least(F.col("start") + n, F.col("size"))).withColumn("ways", F.array(F.lit(-1), F.lit(1))))
+    done = None
+    while True:
+        grown = state.withColumn("way", F.explode("ways")).withColumn("b", F.col("start") - (F.col("way") < 0).cast("int")).withColumn("e", F.col("stop") + (F.col("way") > 0).cast("int"))
+        grown = grown.where((F.col("b") >= 0) & (F.col("e") <= F.col("size"))).select("q", "way", "b", "e", F.col("score").alias("now"))
+        sums = found.join(grown, "q").where((F.col("at") >= F.col("b")) & (F.col("at") < F.col("e"))).groupBy("q", "way", "b", "e", "now", "_key").agg(F.sum("s").alias("score"))
+        tops = sums.groupBy("q", "way").agg(F.min_by(F.struct("_key", "score", "b", "e", "now"), F.struct(-F.round("score", 9), "_key")).alias("t")).where(F.round("t.score", 9) > F.round("t.now", 9))
+        step = written(tops.groupBy("q").agg(F.min_by("t", F.struct(-F.round("t.score", 9), "way")).alias("t"), F.array_sort(F.collect_list("way")).alias("ways")))
+        rest = state.join(step, "q", "left_anti").select("q", "_key", "score", "start", "stop")
+        done = rest if done is None else done.unionByName(rest)
+        if step.isEmpty():
+            return done.where(F.col("score") >= min_score)
+        state = written(state.select("q", "size").join(step, "q").select("q", "t._key", "t.score", F.col("t.b").alias("start"), "size", F.col("t.e").alias("stop"), "ways"))
+
+
+# --- the lookup join
 
 
 def lookup(
     left: DataFrame, right: DataFrame, query: str, text: str, right_key: str, *, max_edits: int = 0, prefix_length: int = 1, min_score: float = 0.0, boost_acronyms: bool = False,
-    popularity: str | None = None, weights: str | None = None, min_weight: float = 0.4, stop_words: Iterable[str] = (), right_select: list[str] | None = None, where: Callable[[DataFrame], DataFrame] = lambda d: d,
+    popularity: str | None = None, weights: str | None = None, stop_words: Iterable[str] = (), right_select: list[str] | None = None, where: Callable[[DataFrame], DataFrame] = lambda d: d,
+    equal: Mapping[str, str] | None = None, tokenize: str | None = QUERY_BREAK, strategy: str | Callable = "standard", strategy_params: Mapping[str, object] | None = None, tokens: bool = False, postings: DataFrame | None = None,
 ) -> DataFrame:
     """left with the best row of right for its query: a left join, null where nothing matches.
 
-    query is text or an array of tokens. Columns of right follow those of left, then _score_, _tags_ (matched
-    tokens), _startIndex_ and _endIndex_ (their span in the query). where filters rows of right first. Weights
-    is an array aligned with an array query: tokens below min_weight are left out, from 0.8 on they count wholly.
+    query is text, parted by the pattern tokenize (None: it is one token, and so are the texts of right); with `tokens` it is an
+    array of tokens. An array of texts otherwise: each is a query, and the column `array` holds their results in order.
+    Columns of right follow those of left, then _score_, _tags_ (matched tokens), _startIndex_ and _endIndex_ (their span
+    in the query). where filters rows of right first; equal, of right's columns to left's, asks for equal values, null
+    ones aside. Stop words are left out as they are spelt. Weights is an array aligned with the query's tokens. strategy is
+    one of STRATEGIES or a function like those, with its params. postings is a stored index of right.
     """
+    if left.schema[query].dataType.typeName() == "array" and not tokens:
+        options = {"max_edits": max_edits, "prefix_length": prefix_length, "min_score": min_score, "boost_acronyms": boost_acronyms, "popularity": popularity, "stop_words": stop_words, "where": where, "equal": equal, "tokenize": tokenize, "strategy": strategy, "strategy_params": strategy_params, "postings": postings}
+        return _lookup_array(left, right, query, text, right_key, right_select, options)
+    run = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
+    params = dict(strategy_params or {})
+    known = run.__code__.co_varnames[3 : run.__code__.co_argcount]
+    if unknown := set(params) - set(known):
+        raise ValueError(f"strategy has no {', '.join(sorted(unknown))}")
+
     left = written(left.withColumn("_q", F.monotonically_increasing_id()))  # else ids could differ where left is read again
-    array = left.schema[query].dataType.typeName() == "array"
-    words = F.col(query) if array else (F.filter(F.split(F.col(query), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    words = F.col(query) if tokens else F.array(F.col(query)) if tokenize is None else F.filter(F.split(F.col(query), tokenize), lambda t: t != "")
     stop = list(stop_words)
-    asked = left.select("_q", F.posexplode(words).alias("at", "raw"), *([F.col(weights).alias("_w")] if weights else []))
-    if stop:
-        asked = asked.where(~F.col("raw").isin(stop))
+    asked = left.where(F.col(query).isNotNull()).select("_q", words.alias("_words"), *(F.col(c).alias(f"_eq{i}") for i, c in enumerate((equal or {}).values())), *([F.col(weights).alias("_ws")] if weights else []))
+    if stop:  # weights go with their tokens
+        keep = F.filter(F.transform("_words", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: ~x["t"].isin(stop))
+        asked = asked.withColumn("_words", keep)
+        asked = asked.withColumn("_ws", F.transform("_words", lambda x: F.get("_ws", x["i"]))) if weights else asked
+        asked = asked.withColumn("_words", F.transform("_words", lambda x: x["t"]))
+    others = [c for c in asked.columns if c not in ("_q", "_words")]
+    asked = asked.select(F.col("_q").alias("q"), F.posexplode("_words").alias("at", "raw"), F.size("_words").alias("size"), *others)
     short = F.col("raw").rlike("^[A-Z]{2}$")
     token = F.when(short, F.repeat("raw", 2)).otherwise(F.lower("raw")) if boost_acronyms else F.lower("raw")
     boost = F.when(short, 15.0 if max_edits else 4.0).otherwise(1.0) if boost_acronyms else F.lit(1.0)
-    if weights:
-        w = F.get("_w", F.col("at"))
-        asked = asked.where(w >= min_weight)
-        boost = boost * F.when(w < 0.8, w).otherwise(1.0)
-    asked = asked.select(F.col("_q").alias("q"), "at", token.alias("token"), boost.alias("boost"))
+    asked = asked.select("q", "at", "size", token.alias("token"), boost.alias("boost"), *others, *([F.get("_ws", F.col("at")).alias("_w")] if weights else []))
+    asked = written(asked)
+
     rows = where(right)
-    found = scores(asked.groupBy("q", "token").agg(F.sum("boost").alias("boost")), index(rows, right_key, text, boost_acronyms), max_edits, prefix_length)
-    top = best(found, min_score, rows.select(F.col(right_key).alias("_key"), F.col(popularity).alias("pop")) if popularity else None)
-    span = asked.join(top, "q").where(F.array_contains("tags", F.col("token"))).groupBy("q").agg(F.min("at").alias("_startIndex_"), F.max("at").alias("_endIndex_"))
+    if postings is None:
+        only = None
+        if not max_edits:  # else terms that are near are wanted, too
+            only = written(asked.select("token").unionByName(left.sparkSession.sql("select '' as token")).distinct())
+        postings = index(rows, right_key, text, boost_acronyms, tokenize is None, only)
+    postings = written(postings)
+    pop = rows.select(F.col(right_key).alias("_key"), F.col(popularity).alias("pop")) if popularity else None
+
+    def search(some: DataFrame, window: int | None = None) -> DataFrame:
+        found = contributions(some, postings, max_edits, prefix_length)
+        if equal:
+            own = rows.select(F.col(right_key).alias("_key"), *(F.col(c).alias(f"_own{i}") for i, c in enumerate(equal)))
+            found = found.join(own, "_key")
+            for i in range(len(equal)):
+                found = found.where(F.col(f"_eq{i}").isNull() | (F.col(f"_eq{i}") == F.col(f"_own{i}")))
+        if pop is not None:
+            found = found.join(pop, "_key").withColumn("s", F.col("s") * F.col("pop"))
+        found = written(found.select("q", "at", "size", "token", "_key", "s"))
+        if window is None:
+            top = best(found.groupBy("q", "_key").agg(F.sum("s").alias("score")), min_score).withColumns({"start": F.lit(0), "stop": F.lit(2**31 - 1)})
+        else:
+            top = best_window(found, window, min_score)
+        met = found.join(top, ["q", "_key"]).where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("stop")))
+        return met.groupBy("q", "_key").agg(F.first("score").alias("score"), F.array_sort(F.collect_set("token")).alias("tags"), F.min("at").alias("_startIndex_"), F.max("at").alias("_endIndex_"))
+
+    top = run(asked, search, max_edits, **params)
     keep = right_select or right.columns
-    matched = top.join(span, "q").join(rows, F.col("_key") == F.col(right_key)).select(F.col("q").alias("_q"), *keep, F.col("score").cast("float").alias("_score_"), F.col("tags").alias("_tags_"), "_startIndex_", "_endIndex_")
+    matched = top.join(rows, F.col("_key") == F.col(right_key)).select(F.col("q").alias("_q"), *keep, F.col("score").cast("float").alias("_score_"), F.col("tags").alias("_tags_"), "_startIndex_", "_endIndex_")
     return left.join(matched, "_q", "left").drop("_q")
 
 
-def best_window(found: DataFrame, n: int = 3) -> DataFrame:
-    """N-gram strategy over contributions found (q, _key, at, s, size): the best window of n tokens, grown a token at a time while its best score rises.
+def _lookup_array(left: DataFrame, right: DataFrame, query: str, text: str, right_key: str, right_select: list[str] | None, options: dict) -> DataFrame:
+    keep = right_select or right.columns
+    left = written(left.withColumn("_row", F.monotonically_increasing_id()))
+    parts = left.select("_row", F.posexplode(query).alias("_at", "_query"))
+    found = lookup(parts, right, "_query", text, right_key, right_select=right_select, **options)
+    result = F.struct(*keep, "_score_", "_tags_", "_startIndex_", "_endIndex_")
+    listed = found.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", result.alias("r")))), lambda x: x["r"]).alias("array"))
+    return left.join(listed, "_row", "left").drop("_row")
+
+
+def lookups(left: DataFrame, right: DataFrame, queries: Sequence[str], text: str, right_key: str, right_select: list[str] | None = None, **options) -> DataFrame:
+    """left with a struct `<query>_res` of the best row of right for each query column; its fields are null where nothing matches."""
+    keep = right_select or right.columns
+    left = written(left.withColumn("_row", F.monotonically_increasing_id()))
+    one = left.select("_row", F.posexplode(F.array(*queries)).alias("_at", "_query"))
+    found = lookup(one, right, "_query", text, right_key, right_select=right_select, **options)
+    result = F.struct(*keep, "_score_", "_tags_", "_startIndex_", "_endIndex_")
+    wide = found.groupBy("_row").agg(*(F.max(F.when(F.col("_at") == i, result)).alias(f"{c}_res") for i, c in enumerate(queries)))
+    return left.join(wide, "_row").drop("_row")
+
+
+# --- embeddings by token
 
-    Returns (q, key, score, start, stop). Each query's contributions are one group: queries are short texts.
+
+def token_vectors(df: DataFrame, tokens: str, embeddings: DataFrame, output: str, how: str = "sum", stop_words: Iterable[str] = ()) -> DataFrame:
+    """df with the vectors of an array of tokens, from embeddings (token, vector): their `sum`, or an `array` aligned with the tokens in which those that are not known are null.
+
+    Stop words have no vector. A sum over no known token is null. Rows are told apart by an id of their own.
+    """
+    df = written(df.withColumn("_row", F.monotonically_increasing_id()))
+    parts = df.select("_row", F.posexplode(tokens).alias("_at", "token"))
+    stop = list(stop_words)
+    if stop:
+        parts = parts.withColumn("token", F.when(~F.col("token").isin(stop), F.col("token")))
+    known = embeddings.dropDuplicates(["token"]).select("token", F.col("vector").cast("array<double>").alias("vector"))
+    found = parts.join(known, "token", "left")
+    if how == "array":
+        out = found.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "vector"))), lambda x: x["vector"]).alias(output))
+    else:
+        cells = found.where("vector is not null").select("_row", F.posexplode("vector").alias("_i", "_x")).groupBy("_row", "_i").agg(F.sum("_x").alias("_x"))
+        out = cells.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda p: p["_x"]).alias(output))
+    return df.join(out, "_row", "left").drop("_row")
+
+
+def hit_percent(df: DataFrame, tokens: str, embeddings: DataFrame) -> DataFrame:
+    """(words, hits, percent): how many of all tokens have a vector."""
+    parts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    found = parts.join(embeddings.select("token", F.lit(1).alias("known")).distinct(), "token", "left")
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("hits")).withColumn("percent", F.try_divide(100 * F.col("hits"), F.col("words")))
+
+
+# --- beam search
+
+
+def best_path(candidates: Sequence[Sequence], chances: Mapping[tuple, float] | Callable, default: object = None, most: int = 32) -> list:
+    """One of the candidates for each place, so that the product of the chances of neighbours is about the greatest.
+
+    Paths are grown from the last chosen place until there are `most` of them, then the next place of the likeliest, the last of
+    equals, is chosen, and only paths through it go on. Where no path can go on, `default` is chosen. chances is a
+    function of two neighbours, or a map by both and a kind, of which the product counts.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = sorted(pdf["_key"].unique())
-        size = int(pdf["size"].iloc[0])
-        table = [[0.0] * size for _ in keys]
-        for k, at, s in zip(pdf["_key"], pdf["at"], pdf["s"], strict=True):
-            table[keys.index(k)][at] += s
-
-        def top(b: int, e: int) -> tuple[float, int]:
-            return max((round(sum(row[b:e]), 9), -i) for i, row in enumerate(table))
-
-        b, e = (0, size) if size <= n else max(((i, i + n) for i in range(size - n + 1)), key=lambda w: (top(*w)[0], -w[0]))
-        now, ways = top(b, e), {"left", "right"}
-        while ways:
-            grown = [(top(*w), w, way) for way, w in (("left", (b - 1, e)), ("right", (b, e + 1))) if way in ways and w[0] >= 0 and w[1] <= size]
-            ways = {way for s, _, way in grown if s[0] > now[0]}
-            if ways:
-                now, (b, e), _ = max((g for g in grown if g[2] in ways), key=lambda g: g[0][0])
-        return pd.DataFrame({"q": [pdf["q"].iloc[0]], "_key": [keys[-now[1]]], "score": [now[0]], "start": [b], "stop": [e]})
-
-    kinds = dict(found.dtypes)
-    return found.groupBy("q").applyInPandas(run, f"q {kinds['q']}, _key {kinds['_key']}, score double, start int, stop int")
+    if not callable(chances):
+        kinds, table = sorted({k[2] for k in chances}), chances
+
+        def chances(a: object, b: object) -> float:
+            out = 1.0
+            for kind in kinds:
+                out *= table.get((a, b, kind), 0.0)
+            return out
+
+    chosen: list = []
+    paths = [((c,), 1.0) for c in (candidates[0] if candidates else ())]
+    while len(chosen) < len(candidates):
+        if not paths:
+            paths = [((default,), 0.0)]
+        while 0 < len(paths) < most and len(chosen) + len(paths[0][0]) < len(candidates):
+            grown = [((*p, c), s * chances(p[-1], c)) for p, s in paths for c in candidates[len(chosen) + len(p)]]
+            if not grown:
+                break
+            paths = grown
+        top = max(s for _, s in paths)
+        first = [p[0] for p, s in paths if s == top][-1]
+        chosen.append(first)
+        # what is left are paths from the chosen place; it alone is grown again
+        rest = [(p[1:], s) for p, s in paths if p[0] == first and len(p) > 1]
+        if rest or len(chosen) == len(candidates):
+            paths = rest
+        else:
+            paths = [((c,), chances(first, c)) for c in candidates[len(chosen)]]
+    return chosen

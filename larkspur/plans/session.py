@@ -72,6 +72,15 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder that goes as a written table does."""
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(_delete_all)
+    _TABLES[path] = spark, threading.get_ident()
+    return path
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes written tables that no plan reads any more."""
     for table in tables:

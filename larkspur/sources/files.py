@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Columns of the address base, read as text but for the coordinates. Fixed values.
@@ -52,8 +55,6 @@ def escape_columns(df: DataFrame) -> DataFrame:
 
 
 def unescape_columns(df: DataFrame) -> DataFrame:
-    import re
-
     return df.toDF(*(re.sub(r">>(\d+)<<", lambda m: chr(int(m[1])), name) for name in df.columns))
 
 
@@ -98,3 +99,36 @@ def write_hourly(df: DataFrame, ts: str, path: str) -> None:
     """Text lines in folders by hour, gzip, appended. df has ts and one text column."""
     text = next(c for c in df.columns if c != ts)
     df.select(F.date_format(ts, "yyyy-MM-dd-HH").alias("hour"), F.col(text).alias("value")).write.partitionBy("hour").mode("append").option("compression", "gzip").text(path)
+
+
+def first_column(spark: SparkSession, path: str, name: str, sep: str = ";") -> DataFrame:
+    """The first column of a CSV file, such as keywords to track."""
+    rows = spark.read.option("sep", sep).csv(path)
+    return rows.select(F.col(rows.columns[0]).alias(name))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Functions for SQL text: simplify_text(x), grammar_tags(code, auxiliary), by Arrow batches, and the table function numbered_words(text), which gives (i, w)."""
+    from pyspark.sql.functions import pandas_udf, udtf
+
+    from larkspur.functions.text import ACCENTS
+    from larkspur.operators.lexicon import TAGS
+
+    fold = str.maketrans(*ACCENTS) | str.maketrans("-'", "  ")
+
+    @pandas_udf("string")
+    def simplify_text(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: re.sub("[ld](?=')", " ", t.lower()).translate(fold), na_action="ignore")
+
+    @pandas_udf("array<int>")
+    def grammar_tags(code: pd.Series, auxiliary: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else [k for k, (*_, p) in TAGS.items() if (a if p is None else re.search(p, c))] for c, a in zip(code, auxiliary, strict=True)], dtype=object)
+
+    @udtf(returnType="i int, w string")
+    class NumberedWords:
+        def eval(self, text: str):  # noqa: ANN202
+            yield from enumerate((text or "").split())
+
+    spark.udf.register("simplify_text", simplify_text)
+    spark.udf.register("grammar_tags", grammar_tags)
+    spark.udtf.register("numbered_words", NumberedWords)

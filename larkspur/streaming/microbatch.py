@@ -19,9 +19,10 @@ def parquet_stream(spark: SparkSession, path: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def hourly_sink(stream: DataFrame, ts: str, path: str, checkpoint: str, every: str = "1 second") -> StreamingQuery:
+def hourly_sink(stream: DataFrame, ts: str, path: str, checkpoint: str, every: str = "1 second", available_now: bool = False) -> StreamingQuery:
+    """Appends JSON to folders by hour, each batch after `every`, or all that is there and then an end."""
     out = stream.withColumn("hour", F.date_format(ts, "yyyy-MM-dd-HH"))
-    return out.writeStream.format("json").partitionBy("hour").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()
+    return out.writeStream.format("json").partitionBy("hour").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**({"availableNow": True} if available_now else {"processingTime": every})).start()
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from larkspur.plans import queries
+from larkspur.plans import catalog as queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
