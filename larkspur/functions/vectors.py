@@ -68,15 +68,15 @@ def hashed_index(token: Column | str, size: int = 1 << 20, base: int = 300) -> C
     return F.pmod(F.hash(_c(token)), F.lit(size)) + base
 
 
-@pandas_udf("map<int,double>")
-def _counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for arrays in batches:
-        yield pd.Series([None if a is None else {int(i): float(n) for i, n in zip(*np.unique(np.asarray(a, np.int64), return_counts=True), strict=True)} for a in arrays], dtype=object)
-
-
 def hashed_counts(tokens: Column | str, size: int = 2048) -> Column:
     """Hashed term frequencies of a token array, as a sparse map: hashed in the JVM, counted by Arrow batches."""
-    return _counted(F.transform(_c(tokens), lambda t: F.pmod(F.hash(t), F.lit(size))))
+
+    @pandas_udf("map<int,double>")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for arrays in batches:
+            yield pd.Series([None if a is None else {int(i): float(n) for i, n in zip(*np.unique(np.asarray(a, np.int64), return_counts=True), strict=True)} for a in arrays], dtype=object)
+
+    return counted(F.transform(_c(tokens), lambda t: F.pmod(F.hash(t), F.lit(size))))
 
 
 def closest(vector: Column | str, centres: Column | str) -> Column:

@@ -244,11 +244,11 @@ def lookup(
         else:
             top = best_window(found, window, min_score)
         met = found.join(top, ["q", "_key"]).where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("stop")))
-        return met.groupBy("q", "_key").agg(F.first("score").alias("score"), F.array_sort(F.collect_set("token")).alias("tags"), F.min("at").alias("_startIndex_"), F.max("at").alias("_endIndex_"))
+        return met.groupBy(F.col("q").alias("_q"), "_key").agg(F.first("score").cast("float").alias("_score_"), F.array_sort(F.collect_set("token")).alias("_tags_"), F.min("at").alias("_startIndex_"), F.max("at").alias("_endIndex_"))
 
     top = run(asked, search, max_edits, **params)
     keep = right_select or right.columns
-    matched = top.join(rows, F.col("_key") == F.col(right_key)).select(F.col("q").alias("_q"), *keep, F.col("score").cast("float").alias("_score_"), F.col("tags").alias("_tags_"), "_startIndex_", "_endIndex_")
+    matched = top.join(rows, F.col("_key") == F.col(right_key)).select("_q", *keep, "_score_", "_tags_", "_startIndex_", "_endIndex_")
     return left.join(matched, "_q", "left").drop("_q")
 
 

@@ -329,6 +329,10 @@ class DiscreteVectorClassifierModel(Model):
         return out.withColumn(p.getRawPredictionCol(), raw).withColumn(p.getPredictionCol(), guess).drop("_x", *(f"_{k}{i}" for i in range(len(self.models)) for k in "pr"))
 
 
+#: Different margins that Platt's fit fetches at once; beyond them each step is a sum in Spark.
+FETCH = 100_000
+
+
 def platt_fit(df: DataFrame, margin: str, label: str, rounds: int = 100) -> tuple[float, float]:
     """(a, b) so that 1 / (1 + exp(a * margin + b)) is the likeliest chance of label 1, by Newton steps with line search; each step is one sum over all rows.
 
@@ -342,7 +346,16 @@ def platt_fit(df: DataFrame, margin: str, label: str, rounds: int = 100) -> tupl
     yes, no = counts.get(True, 0), counts.get(False, 0)
     target = F.when(F.col("y"), (yes + 1) / (yes + 2)).otherwise(1 / (no + 2))
 
+    held = rows.select("m", "y", "n").toArrow() if rows.count() <= FETCH else None  # few enough for the driver
+
     def sums(a: float, b: float) -> tuple[float, ...]:
+        if held is not None:
+            m, n = held.column("m").to_numpy(), held.column("n").to_numpy()
+            t = np.where(held.column("y").to_numpy(), (yes + 1) / (yes + 2), 1 / (no + 2))
+            z = m * a + b
+            p = 1 / (1 + np.exp(np.clip(z, -700, 700)))
+            h, g = n * p * (1 - p), n * (t - p)
+            return tuple(float(x.sum()) for x in (n * (t * z + np.logaddexp(0, -z)), h * m**2, h, h * m, g * m, g))
         z = F.col("m") * a + b
         p = 1 / (1 + F.exp(z))
         # ln(1 + exp(z)) without overflow
