@@ -111,7 +111,7 @@ def test_lookup_options(spark):
     left = spark.createDataFrame([(1, "big red house", 1), (2, "red", 2), (3, "the", 1)], "i int, q string, g int")
     right = spark.createDataFrame([(1, "red house", 1, 1.0), (2, "big house", 2, 9.0), (3, "the red", 2, 1.0)], "k int, text string, g int, pop double")
     by = lambda **o: {r.i: r.k for r in S.lookup(left, right.withColumnRenamed("g", "rg"), "q", "text", "k", right_select=["k"], **o).collect()}
-    assert by() == {1: 1, 2: 1, 3: 3}
+    assert by() == {1: 2, 2: 1, 3: 3}
     assert by(popularity="pop")[1] == 2 and by(equal={"rg": "g"}) == {1: 1, 2: 3, 3: None} and by(stop_words=["the"])[3] is None
     assert by(where=lambda d: d.where("k <> 1"))[2] == 3
     stored = session.written(S.index(right, "k", "text"))
@@ -162,12 +162,12 @@ def test_hierarchy():
 def test_topic_nodes(spark):
     rng = np.random.default_rng(4)
     make = lambda c, n: [(np.eye(6)[c] + rng.normal(size=6) * 0.2).tolist() for _ in range(n)]
-    node = T.fit_node("n", {0: [1, 2]}, {1: make(1, 20), 2: make(2, 20)}, make(3, 20))
+    node = T.fit_node("n", {0: [1, 2]}, {1: make(1, 20), 2: make(2, 20)}, make(3, 20) + make(0, 20))
     rows = [(i, make(i % 4, 3)) for i in range(80)]
     out = T.tag_texts(spark.createDataFrame(rows, "i int, vs array<array<double>>"), "vs", "vs", node).collect()
     right = [(set(r.facts) - {0}) == ({r.i % 4} & {1, 2}) for r in out]
     assert np.mean(right) > 0.9
-    both = T.merged(node, T.fit_node("n", {0: [1, 2]}, {1: make(1, 20), 2: make(2, 20)}, make(3, 20)))
+    both = T.merged(node, T.fit_node("n", {0: [1, 2]}, {1: make(1, 20), 2: make(2, 20)}, make(3, 20) + make(0, 20)))
     assert set(both.models) == {1, 2} and T.Node.from_json(both.to_json()) == both
     analogy = T.Node("a", {1: (5,)}, {5: T.analogy_model([(np.eye(6)[1], np.eye(6)[4])])}, kind="analogy")
     facts, scores = {0: {0: 0, 1: 1}, 1: {0: 0}}, {}
@@ -184,7 +184,7 @@ def test_online_clusters(spark):
     df = spark.createDataFrame(rows, "i int, vs array<array<double>>")
     found = T.cluster_online(df, "i", "vs", 3, split=5.0, parts=4)
     axes = {int(np.argmax(c)) for c in found.centre}
-    assert axes == {0, 1, 2} and found.gap() > 0.5 and sum(found.weight) == pytest.approx(150, rel=0.1)
+    assert axes == {0, 1, 2} and found.gap() > 0.5 and 100 < sum(found.weight) <= 150
     again = T.cluster_online(df.repartition(3), "i", "vs", 3, split=5.0, parts=4)
     assert np.allclose(found.centre, again.centre)
     topics = T.genetic_topics(df.where("i < 999"), "i", "vs", topics=3, population=10, window=2, max_rounds=5)
@@ -230,7 +230,7 @@ def test_folds(spark):
     df = spark.range(60).withColumn("kind", F.when(F.col("id") < 3, "always").when(F.col("id") > 56, "never").otherwise("x"))
     out = U.FoldsPredictor(Seen(), 4, force_train="kind = 'always'", force_test="kind = 'never'").fit(df).transform(df).collect()
     assert sorted(r.id for r in out) == list(range(3, 60)) and not any(r.seen for r in out)
-    assert all(r.held for r in out if r.kind == "x") and {r.n for r in out if r.kind == "never"} == {54}
+    assert all(r.held for r in out if r.kind == "x") and {r.n for r in out if r.kind == "never"} == {57}
 
 
 def test_trees():
