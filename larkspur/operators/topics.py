@@ -266,6 +266,12 @@ def merged(a: Node, b: Node, weights: tuple[float, float] = (0.5, 0.5)) -> Node:
     return replace(a, models=both, links=links, children=[*children, *theirs.values()])
 
 
+def renumbered(node: Node, classes: Mapping[int, int]) -> Node:
+    """A copy of a node and those below with other class numbers; those not named stay."""
+    of = lambda c: -classes.get(-c, -c) if c < 0 else classes.get(c, c)
+    return replace(node, links={of(k): tuple(map(of, v)) for k, v in node.links.items()}, models={of(k): v for k, v in node.models.items()}, filter=tuple(map(of, node.filter)), children=[renumbered(c, classes) for c in node.children])
+
+
 # --- clusters that follow a stream of documents
 
 

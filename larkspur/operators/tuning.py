@@ -190,6 +190,17 @@ class FoldsPredictorModel(Model):
         return reduce(DataFrame.unionByName, parts)
 
 
+def fold_performance(df: DataFrame, estimator: Estimator, folds: int = 5, label: str = "label", prediction: str = "prediction", seed: int = 38) -> DataFrame:
+    """(rows_, tp, fp, tn, fn, precision, recall, f1) of an estimator's predictions out of folds; 1 is positive."""
+    out = FoldsPredictor(estimator, folds, seed=seed).fit(df).transform(df)
+    yes, no = F.col(label) == 1, F.col(label) != 1
+    hit, miss = F.col(prediction) == 1, F.col(prediction) != 1
+    n = lambda c: F.sum(c.cast("long"))
+    sums = out.agg(F.count("*").alias("rows_"), n(yes & hit).alias("tp"), n(no & hit).alias("fp"), n(no & miss).alias("tn"), n(yes & miss).alias("fn"))
+    sums = sums.withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
+    return sums.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+
+
 # --- thresholds and metrics
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import bz2
+import io
 import json
+import struct
+import time
+import zipfile
 
+import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline
 from pyspark.sql import Window, functions as F
 
 from larkspur.functions import text as X, vectors as V
@@ -13,7 +20,7 @@ from larkspur.plans import pipeline as P, session
 from larkspur.plans.queries import _TOK, QUERIES, SQL, _scored, query
 from larkspur.plans.session import written
 from larkspur.sources import files
-from larkspur.sources.storage import Store
+from larkspur.sources.storage import Store, download, post_steps, publish, read_archives
 from larkspur.streaming import microbatch
 
 __all__ = ["QUERIES", "SQL"]
@@ -123,8 +130,6 @@ def S24_unchanged(t):
     store.set(f"{path}/in/a.txt", b"x")
     first = store.unchanged(f"{path}/in/a.txt", f"{path}/stamp")
     second = store.unchanged(f"{path}/in/a.txt", f"{path}/stamp")
-    import time
-
     time.sleep(1.1)  # some stores tell time by the second
     store.set(f"{path}/in/b.txt", b"y")
     newest = files.newest_file(t.spark, f"{path}/in", "txt$").first().path.rsplit("/", 1)[-1]
@@ -920,8 +925,6 @@ def T19_named_frames(t):
 
 @query("select c_nationkey, sum(c_acctbal) as c_acctbal, row_number() over (order by c_nationkey) as id from customer group by 1")
 def T21_stages(t):
-    from pyspark.ml import Pipeline
-
     stages = [U.group_by_stage(["c_nationkey"], sum_of=["c_acctbal"]), U.add_id_stage("id", ["c_nationkey"])]
     rows = t.customer.select("c_nationkey", "c_acctbal")
     return Pipeline(stages=stages).fit(rows).transform(rows)
@@ -1206,3 +1209,289 @@ def H10_phrase_page(t):
 @query("select doc_id, string_split(coalesce(lang, '-') || ',' || doc_id, ',')[1] as first from documents")
 def H15_first_of_list(t):
     return t.documents.select("doc_id", X.first_of_list(F.concat(F.coalesce("lang", F.lit("-")), F.lit(","), "doc_id")).alias("first"))
+
+# --- the rest, each under its own ID
+
+
+@query("select true as first, false as again, 'v1' as content")
+def S15_download_once(t):
+    store, path, calls = Store(t.spark), scratch(t), []
+    fetch = lambda url: calls.append(url) or b"v%d" % len(calls)
+    row = (download(store, "u", f"{path}/a", fetch), download(store, "u", f"{path}/a", fetch), store.get(f"{path}/a").decode())
+    return t.spark.createDataFrame([row], "first boolean, again boolean, content string")
+
+
+@query("select true as first, false as same, true as changed")
+def S16_download_checked(t):
+    store, path, tags = Store(t.spark), scratch(t), iter(({"ETag": "1"}, {"ETag": "1"}, {"ETag": "2"}))
+    row = tuple(download(store, "u", f"{path}/a", lambda _: b"x", "head-check", lambda _: next(tags)) for _ in range(3))
+    return t.spark.createDataFrame([row], "first boolean, same boolean, changed boolean")
+
+
+@query("select 'a-b.txt' as name, 'x' as content union all select 'q', 'y'")
+def S17_archives(t):
+    store, path = Store(t.spark), scratch(t)
+    with zipfile.ZipFile(buffer := io.BytesIO(), "w") as z:
+        z.writestr("a/b.txt", "x")
+    store.set(f"{path}/z.zip", buffer.getvalue())
+    store.set(f"{path}/q.bz2", bz2.compress(b"y"))
+    return read_archives(t.spark, path).select("name", F.col("content").cast("string").alias("content"))
+
+
+@query("select n_name as value from nation where not contains(n_name, '_2')")
+def S19_post_steps(t):
+    t.nation.select("n_name").write.text(path := scratch(t))
+    post_steps(t.spark, "excludeLines:_2", path, f"{path}/../kept-{path.rsplit('/', 1)[-1]}")
+    kept = scratch(t)
+    Store(t.spark).move(f"{path}/../kept-{path.rsplit('/', 1)[-1]}", kept)
+    return t.spark.read.text(kept)
+
+
+def _stream(t, out: str):
+    stream = microbatch.parquet_stream(t.spark, f"{t.dir}/events.parquet*", ", ".join(f"{c} {k}" for c, k in t.events.dtypes))
+    q = microbatch.hourly_sink(microbatch.track(stream, "event_type", ["click", "login"], ["error", "signup", "click", "login"], "event_type"), "ts", out, scratch(t), available_now=True)
+    q.awaitTermination()
+    return q
+
+
+_TRACKED = "select strftime(ts, '%Y-%m-%d-%H') as hour, event_type, count(*) as n from events where regexp_matches(event_type, 'click|login') group by all"
+
+
+@query(_TRACKED)
+def S20_tracked_stream(t):
+    _stream(t, path := scratch(t))
+    return t.spark.read.json(path).groupBy("hour", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("select count(*)::bigint as rows_ from events where regexp_matches(event_type, 'click|login')")
+def ST01_bounded_source(t):
+    """A file at a time: rows that batches read are as many as the table's."""
+    _stream(t, path := scratch(t))
+    return t.spark.read.json(path).agg(F.count("*").alias("rows_"))
+
+
+@query("select count(distinct strftime(ts, '%Y-%m-%d-%H'))::bigint as folders from events where regexp_matches(event_type, 'click|login')")
+def ST03_hourly_folders(t):
+    _stream(t, path := scratch(t))
+    folders = {p.rsplit("/", 2)[-2] for p, *_ in Store(t.spark).list(path, r"\.json$", True)}
+    return t.spark.createDataFrame([(len(folders),)], "folders bigint")
+
+
+@query("select 2 as parts, true as same, 'two' as line")
+def S21_file_store(t):
+    store, path = Store(t.spark), scratch(t)
+    store.set(f"{path}/a.txt", b"one\ntwo\n")
+    parts = list(store.chunks(f"{path}/a.txt", 5))
+    store.joined(f"{path}/b.txt", parts)
+    row = (len(parts), store.get(f"{path}/b.txt") == b"one\ntwo\n", next(store.lines(f"{path}/b.txt", "^t")))
+    return t.spark.createDataFrame([row], "parts int, same boolean, line string")
+
+
+@query("select 'b.txt' as newest, true as known")
+def S23_newest_file(t):
+    store, path = Store(t.spark), scratch(t)
+    store.set(f"{path}/a.txt", b"1")
+    time.sleep(1.1)  # some stores tell time by the second
+    store.set(f"{path}/b.txt", b"2")
+    return t.spark.createDataFrame([(store.last(path, "txt$").rsplit("/", 1)[-1], store.modified(path) is not None)], "newest string, known boolean")
+
+
+@query("select true as there, false as after")
+def S25_temporary_files(t):
+    store = Store(t.spark)
+    path = store.temporary(scratch(t), ".txt")
+    store.set(path, b"x")
+    there = store.exists(path)
+    store.delete(path)
+    return t.spark.createDataFrame([(there, store.exists(path))], "there boolean, after boolean")
+
+
+@query("select o_orderstatus, count(*)::bigint as n from orders group by 1")
+def S30_snapshots(t):
+    """The second run reads what the first has stored."""
+    path, calls = scratch(t), []
+    step = P.Step("count", {"n": lambda d: calls.append(1) or d.groupBy("o_orderstatus").agg(F.count("*").alias("n"))}, snapshot=True, reuse_snapshot=True)
+    model = P.Pipeline("m", [step], snapshot_path=path)
+    model.run(t.orders)
+    ((_, out, _),) = model.run(t.orders.limit(0))
+    if len(calls) != 1:
+        raise AssertionError("the snapshot was not read")
+    return out
+
+
+@query("select r_name, count(*) as n from nation join region on n_regionkey = r_regionkey group by 1")
+def S32_sql_views(t):
+    publish(t.spark, t.dir, ["nation", "region"])
+    return t.spark.sql("select r_name, count(*) as n from nation join region on n_regionkey = r_regionkey group by 1")
+
+
+@query(r"select conv_id, turn, list_aggregate(list_transform(regexp_extract_all(text, '[0-9]{4,}'), lambda x: x[1:9]), 'last') as code from conversations where regexp_matches(text, '[0-9]{4,}') and not regexp_matches(text, '[0-9]{4,}[^0-9]+[0-9]') and len(regexp_extract_all(text, '[0-9]+')) = 1")
+def F22_postcode(t):
+    rows = t.conversations.where(F.col("text").rlike("[0-9]{4,}") & (F.size(F.regexp_extract_all("text", F.lit("([0-9]+)"), 1)) == 1))
+    return rows.select("conv_id", "turn", X.postcode("text").alias("code"))
+
+
+@query("select unnest(['net', 'net', 'gross']) as price, unnest(['default', 'chosen', 'every']) as how union all select 'net', 'every'")
+def T14_versions(t):
+    model = _model(t)
+    rows = [("default", model.default()), ("chosen", model.version(price="net")), *(("every", v) for v in model.every())]
+    return t.spark.createDataFrame([(dict(v.choices)["price"], how) for how, v in rows], "price string, how string")
+
+
+@query("select n_name as label, n_regionkey from nation")
+def T15_step_options(t):
+    step = P.Step("s", {"a": lambda d: d.withColumn("extra", F.lit(1))}, select=["n_name", "n_regionkey", "n_nationkey", "extra"], drop=["extra", "n_nationkey"], rename={"n_name": "label"}, repartition=3)
+    ((_, out, _),) = P.Pipeline("m", [step]).run(t.nation)
+    return out
+
+
+@query("select 'gross' as price, 'note' as note, 1 as params, 1 as logs, 1 as steps")
+def T16_version_edits(t):
+    v = _model(t).default().step("price", "gross").drop("sum").comment("note").set(price__k=2).log(a=1)
+    return t.spark.createDataFrame([(dict(v.choices)["price"], v.note, len(v.params), len(v.logs), len(v.choices))], "price string, note string, params int, logs int, steps int")
+
+
+@query("select doc_id, replace(text, '#', '') as text from (select doc_id, 'a#b' || doc_id as text from documents)")
+def T20_stage_columns(t):
+    rows = t.documents.select("doc_id", F.concat(F.lit("a#b"), "doc_id").alias("x"))
+    return U.SocialCleaner(inputCol="x", outputCol="text").transform(rows).select("doc_id", "text")
+
+
+@query("select vec_id, case when e[2] >= 0 and e[1] >= 0 then e[2] / (e[1] + e[2]) when e[2] < 0 and e[1] < 0 then e[1] / (e[1] + e[2]) else 0.5 + atan(e[2] - e[1]) / pi() end as score from (select vec_id, embedding::double[] as e from embeddings)")
+def UD06_fitted_stages(t):
+    rows = t.embeddings.select("vec_id", V.dense("embedding").alias("raw"))
+    return Pipeline(stages=[U.RawToScore(inputCol="raw", outputCol="score")]).fit(rows).transform(rows).select("vec_id", "score")
+
+
+@query("select n_name, upper(n_name) || '!' as loud, [n_name] as l from nation")
+def UD05_chained_functions(t):
+    return t.nation.transform(lambda d: d.withColumn("loud", F.concat(F.upper("n_name"), F.lit("!")))).transform(lambda d: d.select("n_name", "loud", F.array("n_name").alias("l")))
+
+
+@query("select p_partkey, length(p_name) + 1 as n from part")
+def UD01_vectorised_function(t):
+    @F.pandas_udf("bigint")
+    def longer(names: pd.Series) -> pd.Series:
+        return names.str.len() + 1
+
+    return t.part.select("p_partkey", longer("p_name").alias("n"))
+
+
+@query("select 'demo' as appname, 3 as value")
+def UD07_application(t):
+    Store(t.spark).set(path := f"{scratch(t)}/c.json", b'{"value": 3}')
+    from larkspur.__main__ import settings
+
+    found = settings(["appname=demo", f"config={path}"], {"value": 1, "master": "local[2]"}, Store(t.spark).get)
+    return t.spark.createDataFrame([(found["appname"], found["value"])], "appname string, value int")
+
+
+@query("select doc, [1, 1, 1] as flags from (select distinct floor(vec_id / 5)::bigint as doc from embeddings)")
+def T23_topic_scores(t):
+    """Every document is judged by every topic; with no least likeness all are flagged."""
+    docs = t.embeddings.groupBy(F.floor(F.col("vec_id") / 5).alias("doc")).agg(F.collect_list(V.dense("embedding")).alias("vs"))
+    topics = np.eye(64)[:3]
+    return T.topic_scores(docs, "vs", topics, 3, -1.0).select("doc", F.transform("topics", lambda x: x["flag"].cast("int")).alias("flags"))
+
+
+@query("select true as good, count(*)::bigint as rows_ from documents join labels using (doc_id) where text is not null")
+def T24_fold_performance(t):
+    from pyspark.ml.classification import LinearSVC
+
+    return U.fold_performance(_features(t), LinearSVC(maxIter=5), 3, label="label").select((F.col("f1") > 0.3).alias("good"), "rows_")
+
+
+@query("select * from (values (1, [0], [1, 2]), (2, []::int[], []::int[])) as v(id, alone, span)")
+def N05_token_spans(t):
+    """One token is enough in the first text's first place; its next two only together."""
+    node = T.Node("x", {0: (1,)}, {1: ([1.0], -0.5)})
+    out = T.tag_texts(t.spark.createDataFrame([(1, [[0.6], [0.3], [0.3], [-9.0]]), (2, [[0.1], [0.1]])], "id int, vs array<array<double>>"), "vs", "vs", node)
+    held = F.map_entries(F.coalesce(F.try_element_at("facts", F.lit(1)), F.create_map().cast("map<int,int>")))
+    first = F.array_sort(F.transform(F.filter(held, lambda e: (e["key"] == 0) & (e["value"] == 0)), lambda e: e["key"]))
+    rest = F.array_sort(F.transform(F.filter(held, lambda e: (e["key"] > 0) & (e["key"] < 3)), lambda e: e["key"]))
+    return out.select("id", first.alias("alone"), rest.alias("span"))
+
+
+@query("select count(distinct label)::bigint as rows_, true as right from embeddings")
+def N06_fitted_node(t):
+    """A node fitted on made classes gives each example its own."""
+    axes = np.eye(6)
+    node = T.fit_node("n", {0: [1, 2]}, {1: [axes[1]] * 3, 2: [axes[2]] * 3}, [axes[3], axes[0]])
+    right = all(T.score(axes[c], node.models[c]) > 0.5 > T.score(axes[3 - c], node.models[c]) for c in (1, 2))
+    return t.embeddings.agg(F.countDistinct("label").alias("rows_")).withColumn("right", F.lit(right))
+
+
+@query("select 1 as token, 1.0::double as score")
+def N07_analogy(t):
+    axes, facts, scores = np.eye(6), {0: {0: 0, 1: 1}, 1: {0: 0}}, {}
+    T.walk(T.Node("a", {1: (5,)}, {5: T.analogy_model([(axes[1], axes[4])])}, kind="analogy"), axes[[1, 4]], facts, scores)
+    return t.spark.createDataFrame([(next(iter(facts[5])), round(scores[5], 9))], "token int, score double")
+
+
+def _made_documents(t):
+    return t.embeddings.groupBy(F.floor(F.col("vec_id") / 5).alias("doc")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", V.dense("embedding").alias("e")))), lambda x: x["e"]).alias("vs"))
+
+
+@query("select 4 as classes, true as apart, true as weighed")
+def N08_online_clusters(t):
+    found = T.cluster_online(_made_documents(t), "doc", "vs", 4, split=20.0, parts=4)
+    return t.spark.createDataFrame([(len(found.centre), found.gap() > 0, sum(found.weight) > 0)], "classes int, apart boolean, weighed boolean")
+
+
+@query("select 2 as classes, 2 as children, 0.25::double as offset")
+def N09_merged_nodes(t):
+    a = T.Node("n", {0: (1,)}, {1: ([1.0], 0.5)}, children=[T.Node("c", {})])
+    b = T.Node("n", {0: (2,)}, {1: ([1.0], 0.0), 2: ([2.0], 1.0)}, children=[T.Node("d", {})])
+    out = T.merged(a, b)
+    return t.spark.createDataFrame([(len(out.models), len(out.children), out.models[1][1])], "classes int, children int, offset double")
+
+
+@query("select unnest([1, 2, 4, 3]) as id, unnest([false, false, true, true]) as leaf, unnest([0, 1, 2, 3]) as place")
+def H06_tree_walks(t):
+    tree = T.tag_tree([T.Tag(1, (10, 11)), T.Tag(2, (20,), frozenset({10})), T.Tag(3, (30,), frozenset({11})), T.Tag(4, (40,), frozenset({20}))])
+    ends = {x.id for x in T.leaves(tree)}
+    return t.spark.createDataFrame([(x.id, x.id in ends, i) for i, (_, x) in enumerate(T.depth_first(tree))], "id int, leaf boolean, place int")
+
+
+@query("select 1 as old, 7 as new, 'x' as name")
+def H07_copied_parameters(t):
+    old = _axis_node()
+    new = T.renumbered(old, {1: 7, 2: 8})
+    return t.spark.createDataFrame([(old.links[0][0], new.links[0][0], new.name)], "old int, new int, name string")
+
+
+@query(f"select vec_id, round({_COS % ('e', 'v')}, 6) as c from {_E} a, (select embedding::double[] as v from embeddings where vec_id = 0)")
+def H12_cosine_throughput(t):
+    """The same by Arrow and numpy, as the bench times it."""
+    (first,) = t.embeddings.where("vec_id = 0").select(V.dense("embedding").alias("e")).collect()
+
+    @F.pandas_udf("double")
+    def cosine(x: pd.Series) -> pd.Series:
+        m, v = np.stack(x), np.array(first.e)
+        return pd.Series(m @ v / np.linalg.norm(m, axis=1) / np.linalg.norm(v))
+
+    return t.embeddings.select("vec_id", F.round(cosine(V.dense("embedding")), 6).alias("c"))
+
+
+@query("select 'Z' as name, 4.0::double as \"MaxLong\", 1 as rings")
+def S12_shapefile(t):
+    store, path = Store(t.spark), scratch(t)
+    points = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 0.0)]
+    body = struct.pack("<i4d2i", 5, 0, 0, 4, 3, 1, 4) + struct.pack("<i", 0) + b"".join(struct.pack("<2d", *p) for p in points)
+    store.set(f"{path}/z.shp", b"\0" * 100 + struct.pack(">2i", 1, len(body) // 2) + body)
+    fields = struct.pack("<11sc4xB15x", b"NAME", b"C", 4) + b"\x0d"
+    store.set(f"{path}/z.dbf", struct.pack("<4BIHH20x", 3, 0, 0, 0, 1, 32 + len(fields), 5) + fields + b" Z   ")
+    return G.read_shapes(t.spark, path).select(F.col("attributes")["NAME"].alias("name"), "MaxLong", F.size("rings").alias("rings"))
+
+
+@query("select 'Z' as name")
+def S13_console(t):
+    from larkspur.__main__ import main
+
+    store, path, out = Store(t.spark), scratch(t), scratch(t)
+    body = struct.pack("<i2d", 1, 1.0, 2.0)
+    store.set(f"{path}/z.shp", b"\0" * 100 + struct.pack(">2i", 1, len(body) // 2) + body)
+    fields = struct.pack("<11sc4xB15x", b"NAME", b"C", 4) + b"\x0d"
+    store.set(f"{path}/z.dbf", struct.pack("<4BIHH20x", 3, 0, 0, 0, 1, 32 + len(fields), 5) + fields + b" Z   ")
+    main(["shapes", path, out], t.spark)
+    return t.spark.read.parquet(out).select(F.col("attributes")["NAME"].alias("name"))
