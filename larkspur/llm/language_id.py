@@ -21,6 +21,8 @@ BUCKETS, SIZES = 1 << 16, (1, 2, 3)
 #: Documents that each language is learned from, about: a sample by hash of id and text, all if there are fewer. Languages that one model holds (a quarter of a MB each).
 SAMPLE_DOCS, PART_LANGS = 4_000, 64
 _PIECE = 1 << 20  # characters at once
+#: Columns that identify() adds on its way.
+ADDED = {"held_out", "lang_pred", "score", "_lang", "_top", "_all", "_new"}
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -140,7 +142,7 @@ def identify(docs: DataFrame) -> DataFrame:
     rows are scored alike.
     """
     tokens.bound_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c.lower() not in {"held_out", "lang_pred", "score", "_lang", "_top", "_all", "_new"}]
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
     out = docs = docs.select(*keep).withColumn("held_out", held_out())
     learn_from, models, stored = docs.where("not held_out"), 0, None
     for some in parts(learn_from):
@@ -158,5 +160,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is told with at least min_score; texts without a letter go."""
-    return identify(docs).where(f"lang_pred <> 'und' and score >= {min_score}").select(*docs.columns)
+    """The rows of docs whose language is told with at least min_score, with their columns as they are; texts without a letter go."""
+    renamed, back = tokens.set_aside(docs, ADDED)
+    return identify(renamed).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*back)

@@ -8,13 +8,13 @@ range of words at once.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that are hashed at once; a longer text makes a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -33,6 +33,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def set_aside(docs: DataFrame, names: Collection[str]) -> tuple[DataFrame, list[Column]]:
+    """docs with columns of these names (in any case) under others, and the columns that give them back."""
+    kept = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    return docs.withColumnsRenamed(kept), [F.col(f"`{kept.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
