@@ -470,7 +470,7 @@ def X04_term_query(t):
     return _items(t)
 
 
-@query(_best_sql("(case when 0.3 + 0.7 * i / len < 0.8 then 0.3 + 0.7 * i / len else 1 end)", "0.3 + 0.7 * i / len >= 0.4"))
+@query(_best_sql("(case when 0.3::double + 0.7::double * i / len < 0.8::double then 0.3::double + 0.7::double * i / len else 1 end)", "0.3::double + 0.7::double * i / len >= 0.4::double"))
 def X05_term_weights(t):
     rows = t.benchmark.withColumn("tokens", F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     rows = rows.withColumn("weights", F.transform("tokens", lambda w, i: 0.3 + 0.7 * i / F.size("tokens")))

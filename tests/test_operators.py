@@ -68,7 +68,7 @@ def test_text(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(X.simplify(F.lit("L'Été Noël-d'Or"))) == "   ete noel   or".replace("   ete", "  ete")
     assert one(X.links_as_blanks(F.lit("see http://a.b/c now"))) == "see " + " " * len("http://a.b/c") + " now"
-    assert one(X.clean_social(F.lit("RT @me: #fun :) http://x.y"))) == "user : fun great link"
+    assert one(X.clean_social(F.lit("RT @me: #fun :) http://x.y a@b.com"), {":)": 1})) == "   user : fun  great   link  a@b.com"
     assert one(X.stem(F.lit("rapidement"))) == "rapid" and one(X.stem(F.lit("as"))) == "as"
     assert one(X.house_number(F.lit("12 rue de la Paix 75002 Paris"))) == "12" and one(X.postcode(F.lit("12 rue 75002 Paris"))) == "75002"
     assert one(X.text_similarity(F.lit("rue de la Paix"), F.lit("Rue de la paix"), 1.0, 0.0)) == pytest.approx(1)
