@@ -7,7 +7,8 @@ word of each other just if (substitution) both lose the word at the same place a
 (insertion, deletion) one loses a word and becomes the other. Neighbourhoods are made only for lines that
 share their first or last half with another line, as all lines within one word of each other do; this is
 exact, and keeps the number of variants near the number of real candidates. A group of equal variants
-is met through its earliest line, so it costs its size.
+is met through its earliest line, so it costs its size. All tables here grow with the documents, so none is
+broadcast by a hint: sizes that Spark measures decide.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from larkspur.llm import tokens
-from larkspur.plans.session import broadcast_if_small, drop_written, tables_written, written
+from larkspur.plans.session import drop_written, tables_written, written
 
 #: Words from which lines may differ by one: its edit similarity, 1 - 1 / words, is 0.8 or more.
 MIN_WORDS = 5
+#: Columns that dedup_lines() adds or uses on its way.
+ADDED = {"n_lines", "n_dropped", "rid", "own_id", "own_rid", "gone"}
 _LINE = "line_no int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long"
 _FOLD = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 
@@ -143,23 +146,22 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = written(docs.select("doc_id", "rid", "text").mapInArrow(rows, f"doc_id {kind}, rid long, {_LINE}"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "line_no")
     kinds = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("c"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4))))
-    several = broadcast_if_small(written(kinds.where("c > 1").select("h1", "h2", "place")))
+    several = kinds.where("c > 1").select("h1", "h2", "place")
     again = lines.join(several, ["h1", "h2"]).where(place != F.col("place")).select("doc_id", "rid", "line_no")
 
     # lines that share their first or last half with another line
     ends = F.array(*(F.struct(F.col(f"k{i}").alias("half"), F.lit(i % 2 == 0).alias("head")) for i in range(4)))
     halves = kinds.where("k0 is not null").select("h1", F.explode(F.filter(ends, lambda x: x["half"].isNotNull())).alias("x")).select("h1", "x.half", "x.head")
     shared = written(halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half"))
-    near = halves.join(broadcast_if_small(shared), "half").groupBy("h1").agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
+    near = halves.join(shared, "half").groupBy("h1").agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
     near = written(near.join(kinds.select("h1", "h2", "place"), "h1"))
     wanted = near.groupBy(F.col("place.doc_id").alias("own_id"), F.col("place.rid").alias("own_rid")).agg(F.sort_array(F.collect_list(F.struct("place.line_no", "h1", "h2", "head", "tail"))).alias("own"))
-    wanted = broadcast_if_small(written(wanted))
     held = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"]) & (docs["rid"] == wanted["own_rid"])).select("text", "own")
     spelt = written(held.mapInArrow(spell, "h1 long, h2 long, head boolean, tail boolean, line string").dropDuplicates(["h1", "h2"]))
 
     keys = written(spelt.select("h1", "head", "tail", "line").mapInArrow(variants, "key long, lost int, h1 long"))
     met = written(keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key"))
-    keys = keys.join(broadcast_if_small(met), "key").join(near.select("h1", "h2", "place"), "h1").withColumn("spot", F.struct("place", "h1", "h2"))
+    keys = keys.join(met, "key").join(near.select("h1", "h2", "place"), "h1").withColumn("spot", F.struct("place", "h1", "h2"))
     keys = written(keys.select("key", "lost", "spot"))
     cut = keys.where("lost >= 0")
     pairs = [
@@ -181,12 +183,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Rows with the same doc_id and text are one document: what goes from one goes from all. A text of many lines costs
     their number.
     """
-    keep = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped", "rid", "own_id", "own_rid", "gone"}]
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
     docs, earlier = docs.select(*keep).withColumn("rid", F.xxhash64("text")), tables_written()
     gone = dropped_lines(docs, min_words).groupBy(F.col("doc_id").alias("own_id"), F.col("rid").alias("own_rid")).agg(F.collect_set("line_no").alias("gone"))
     gone = written(gone)
     drop_written(earlier, keep=[gone])
-    out = docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(gone["own_id"]) & (docs["rid"] == gone["own_rid"]), "left")
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["own_id"]) & (docs["rid"] == gone["own_rid"]), "left")
     at = keep.index("text")
 
     def taken_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
