@@ -128,14 +128,14 @@ def test_stages_against_plain_python(spark, sf, tmp_path):
     rows += [[200 + i, prose(25) + ", " + items[i % 3] + ". " + prose(30), "s2"] for i in range(6)] + [[300, items[0] + " tail", "s2"]]
     rows += [[None, prose(30), "s3"], [400, None, "s0"], [401, "", "s0"], [402, "123 !!", "s0"], [5, rows[5][1], "s1"], [403, "word " * 4000, "s1"]]
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    docs = spark.createDataFrame([(i, t, "xx", s, len(t or "")) for i, t, s in rows], schema).withColumn("score", F.lit(1))
+    docs = spark.createDataFrame([(i, t, "xx", s, len(t or "")) for i, t, s in rows], schema).withColumns({c: F.lit(7) for c in ("score", "lang_pred", "rid", "n_lines", "size", "taken", "_key")})
     spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or "")
     table, want = docs.repartition(5), [list(r) for r in rows]
     plain = [lambda rs: [r for r in rs if re.search("[a-z]", r[1] or "")], _lines, _distinct, lambda rs: _clean(rs, items)]
     for i, ((name, stage), by_hand) in enumerate(zip(corpus_pipeline.STAGES, plain, strict=False)):
         out = stage(spark, table, str(tmp_path))
-        assert out.columns == docs.columns, name
+        assert out.columns == docs.columns and not out.where("score <> 7 or lang_pred <> 7 or rid <> 7 or n_lines <> 7 or size <> 7 or taken <> 7").count(), name
         out.write.parquet(str(tmp_path / f"stage{i}"))
         table, want = spark.read.parquet(str(tmp_path / f"stage{i}")), by_hand(want)
         got = sorted(([r.doc_id, r.text, r.source] for r in table.collect()), key=key)
@@ -163,6 +163,7 @@ def test_stages_against_plain_python(spark, sf, tmp_path):
             if e * sizes[r[2]] + before + n / 2 < target[r[2]]:
                 taken[r[0], r[1], e] = (e * sizes[r[2]] + before) / max(target[r[2]], 1)
         place[r[2]] = before + n
+    assert all(r["size"] == r.taken == r["_key"] == 7 for r in mixed)
     assert sorted(taken, key=repr) == sorted(((r.doc_id, r.text, r.copy) for r in mixed), key=repr)
     flat = [s for k, s in enumerate(names) if k % 3 == 0]  # their weight does not change over time
     assert all(abs(r.position - taken[r.doc_id, r.text, r.copy]) < 1e-9 for r in mixed if r.source in flat)
