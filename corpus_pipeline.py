@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from larkspur.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
+from larkspur.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, tokens
 from larkspur.plans.session import drop_written, tables_written, written
 
 
@@ -18,8 +18,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that has none left goes. Null texts and those without a word stay as they are, rows that share id and text fare alike."""
-    out = line_dedup.dedup_lines(docs).where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    renamed, back = tokens.set_aside(docs, line_dedup.ADDED)
+    out = line_dedup.dedup_lines(renamed).where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
