@@ -393,7 +393,7 @@ def test_neighbours_over_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-@pytest.mark.parametrize("typical", [0.0, 0.9, 0.96, 0.985, 0.995])
+@pytest.mark.parametrize("typical", [0.9, 0.96, 0.985, 0.995])
 def test_near_vectors_of_a_common_mean(spark, typical):
     """Vectors of one label whose cosines are about `typical`, some near copies, and a large group of them."""
     rng = np.random.default_rng(9)
