@@ -223,9 +223,9 @@ def _to(pairs: DataFrame) -> DataFrame:
     parts = written(pairs.groupBy("p").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")))
     dealt = pairs.join(parts, "p").select(F.col("x").alias("node"), "p", F.pmod(F.hash("x"), F.col("parts")).alias("part"), F.lit(False).alias("own"))
     own = parts.select(F.col("p").alias("node"), "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("own"))
-    both = written(dealt.unionByName(own))
-    lists = both.groupBy("node").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("lists"))
-    return both.join(lists, "node").groupBy("node", F.pmod(F.hash("p", "part"), F.col("lists")).alias("list")).agg(F.collect_list(F.struct("p", "part", "own")).alias("to")).select("node", "to")
+    lists = F.ceil(F.count("*").over(Window.partitionBy("node")) / BLOCK_ROWS)
+    both = dealt.unionByName(own).withColumn("list", F.pmod(F.hash("p", "part"), lists))
+    return both.groupBy("node", "list").agg(F.collect_list(F.struct("p", "part", "own")).alias("to")).select("node", "to")
 
 
 def _sent(to: list[dict], node: int, n: int, cols: np.ndarray) -> Iterator[pa.RecordBatch]:
