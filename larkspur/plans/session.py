@@ -93,9 +93,17 @@ def tables_written() -> set[str]:
 
 
 def drop_written(since: set[str] = frozenset(), keep: Sequence[DataFrame] = ()) -> None:
-    """Deletes the tables that this thread has written since tables_written() gave `since`, but for keep: all that read them must be stored by then."""
-    for path in tables_written() - set(since) - {t._larkspur_path for t in keep}:
+    """Deletes the tables that this thread has written since tables_written() gave `since`, but for keep: all that read them must be stored by then.
+
+    What shuffles have left on executors' disks goes when the driver's JVM collects its garbage, which it is asked to do.
+    """
+    gone = tables_written() - set(since) - {t._larkspur_path for t in keep}
+    spark = next((_TABLES[p][0] for p in gone), None)
+    for path in gone:
         _delete(path)
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            spark._jvm.System.gc()
 
 
 def _delete_all() -> None:
