@@ -23,6 +23,8 @@ WEIGHTS, MAX_COPIES = (5, 2, 1), 3
 SCHEDULES = ((1.0, 1.0, 1.0), (0.5, 1.0, 1.5), (1.5, 1.0, 0.5))
 #: Parts that a source is counted in; inside one, words are summed document by document.
 CELLS = 1024
+#: The order of the mix: by position; the rest tells copies at one position apart.
+ORDER = ("position", "doc_id", "copy", "rank", "place", "size")
 #: Columns that placed() adds or uses on its way.
 ADDED = {"size", "source_size", "target", "rank", "place", "copies", "taken", "_key", "_cell", "_source", "_own_cell", "_before"}
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -96,6 +98,17 @@ def _time(share: Column, schedule: Column) -> Column:
     return piece["t"] + 2 * left / F.when(piece["w"] + root == 0, F.lit(1.0)).otherwise(piece["w"] + root)
 
 
+def copied(out: DataFrame, schedules: Sequence[Sequence[float]] = SCHEDULES, by_source: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+    """A row of a table as placed() gives it for each copy that is taken, with copy (from 0) and position (0 to 1)."""
+    as_column = lambda knots: F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("t", "area", "w", "half"), g, strict=True))) for g in _segments(knots)))
+    schedule = F.element_at(F.array(*map(as_column, schedules)), (F.col("rank") % len(schedules) + 1).cast("int"))
+    for source, knots in (by_source or {}).items():
+        schedule = F.when(F.col("source").eqNullSafe(F.lit(source)), as_column(knots)).otherwise(schedule)
+    out = out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    share = F.least((F.col("copy") * F.col("source_size") + F.col("place")) / F.greatest("target", F.lit(1.0)), F.lit(1.0))
+    return out.withColumn("position", _time(share, schedule))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, schedules: Sequence[Sequence[float]] = SCHEDULES, by_source: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
     """A row of docs for each copy that is taken, with copy (from 0), position (0 to 1), sorted by position.
 
@@ -104,16 +117,19 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX
     """
     docs = docs.select(*(c for c in docs.columns if c.lower() not in {"copy", "position"}))
     docs, back = tokens.set_aside(docs, ADDED)  # those that only clash on the way stay
-    out = placed(docs, weights, max_copies)
-    as_column = lambda knots: F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("t", "area", "w", "half"), g, strict=True))) for g in _segments(knots)))
-    schedule = F.element_at(F.array(*map(as_column, schedules)), (F.col("rank") % len(schedules) + 1).cast("int"))
-    for source, knots in (by_source or {}).items():
-        schedule = F.when(F.col("source").eqNullSafe(F.lit(source)), as_column(knots)).otherwise(schedule)
-    out = out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    share = F.least((F.col("copy") * F.col("source_size") + F.col("place")) / F.greatest("target", F.lit(1.0)), F.lit(1.0))
-    return out.withColumn("position", _time(share, schedule)).select(*back, "copy", "position").orderBy("position", "doc_id", "copy")
+    return copied(placed(docs, weights, max_copies), schedules, by_source).orderBy(*ORDER).select(*back, "copy", "position")
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of docs."""
-    return placed(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    """What mix() makes of every row of docs: doc_id, size, source_size, target, taken, position, mix_rows.
+
+    taken is the words of all its copies, position that of its first copy, null if none is taken. mix_rows are the numbers,
+    from 0, of its copies among the rows of the mix, in order and joined by commas. Copies are sorted without their texts.
+    """
+    kept = ["doc_id", "size", "source_size", "target"]
+    out = written(placed(docs).select(*kept, "source", "rank", "place", "copies", F.monotonically_increasing_id().alias("_row")))
+    mixed = running(copied(out), [*ORDER, "_row"], {"number": F.lit(1).cast("long")})
+    numbers = F.array_join(F.sort_array(F.collect_list("number")).cast("array<string>"), ",")
+    some = mixed.groupBy("_row", *kept).agg(F.sum("size").alias("taken"), F.min("position").alias("position"), numbers.alias("mix_rows")).drop("_row")
+    none = out.where("copies = 0").select(*kept, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("position"), F.lit("").alias("mix_rows"))
+    return some.unionByName(none)

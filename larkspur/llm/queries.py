@@ -78,18 +78,26 @@ SQL: dict[str, str] = {}
 
 SQL["op2_mixing"] = r"""
 with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+  select row_number() over () as r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
          ('0x' || substr(md5(coalesce(doc_id::varchar, md5(coalesce(text, '')))), 1, 8))::bigint as k from documents
 ), s as (select source, sum(size)::bigint as source_size, row_number() over (order by encode(source) nulls last) - 1 as rank from d group by source),
 w as (select *, ([5, 2, 1])[(rank % 3 + 1)::int]::bigint as w, 3 * source_size as bound from s),
 l as (select *, ((sum(source_size) over ())::double - coalesce(sum(bound) over (order by bound / w, rank rows between unbounded preceding and 1 preceding), 0)::double)
              / (sum(w) over (order by bound / w, rank rows between current row and unbounded following))::double as level from w),
-t as (select source, source_size, case when level * w <= bound
+t as (select source, rank, source_size, case when level * w <= bound
         then (select arg_min(level, (bound / w, rank)) from l where level * w <= bound) * w else bound::double end as target from l),
-p as (select d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::double as place
-      from d join t on d.source is not distinct from t.source)
+p as (select d.r, t.rank, d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::double as place
+      from d join t on d.source is not distinct from t.source),
+c as (select r, p.doc_id, rank, place, size, e, least((e * source_size + place) / greatest(target, 1), 1) as share from p, range(3) x(e) where e * source_size + place + size / 2 < target),
+g(rank3, t, area, w, half) as (values (0, 0, 0, 1, 0), (1, 0, 0, 0.5, 0.5), (1, 0.5, 0.375, 1, 0.5), (2, 0, 0, 1.5, -0.5), (2, 0.5, 0.625, 1, -0.5)),
+i as (select c.*, t::double as t, share - area::double as left_, w::double as w, half::double as half from c join g on rank % 3 = rank3 and area::double <= share
+      qualify row_number() over (partition by r, e order by area desc) = 1),
+o as (select *, t + 2 * left_ / (w + sqrt(w * w + 4 * half * left_)) as position from i),
+n as (select *, row_number() over (order by position, doc_id nulls first, e, rank, place, size, r) - 1 as number from o),
+m as (select r, min(position) as position, string_agg(number::varchar, ',' order by number) as mix_rows from n group by r)
 select doc_id, size, source_size, target,
-       (size * ((place + size / 2 < target)::int + (source_size + place + size / 2 < target)::int + (2 * source_size + place + size / 2 < target)::int))::bigint as taken from p
+       (size * ((place + size / 2 < target)::int + (source_size + place + size / 2 < target)::int + (2 * source_size + place + size / 2 < target)::int))::bigint as taken,
+       position, coalesce(mix_rows, '') as mix_rows from p left join m using (r)
 """
 
 SQL["op1_suffix_dedup"] = r"""

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, components, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, suffix_dedup, tokens, url_filter, vector_dedup
+from larkspur.llm import chat_format, components, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, queries, suffix_dedup, tokens, url_filter, vector_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu") for b in ("la", "ne", "ri", "so", "tu", "x", "Y")]
@@ -240,6 +240,30 @@ def test_mixing_counts_every_word_before_a_document(spark):
     assert sorted(((r.doc_id, r.size, r.taken) for r in rows), key=repr) == sorted(want, key=repr)
 
 
+def test_mixing_query_tells_of_the_scheduled_mix(spark, tmp_path):
+    rng = random.Random(18)
+    docs = [(i, prose(rng, rng.choice([0, 1, 5, 40, 700])), "en", rng.choice(["a", "b", "c", "d", "d", "d", "d", None]), 1) for i in range(400)] + [(400 + i, None, "en", "b", 1) for i in range(3)]
+    spark.createDataFrame(docs, DOCS).repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op2_mixing(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(docs)))
+    mixed = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
+    at, sources = {}, sorted({d[3] for d in docs}, key=lambda s: (s is None, s or ""))
+    for number, r in enumerate(mixed):
+        at.setdefault(r.doc_id, []).append(number)
+    before, source = dict.fromkeys(sources, 0), {d[0]: d[3] for d in docs}
+    for r in sorted(rows, key=lambda r: (md5(str(r.doc_id).encode()).hexdigest()[:8], r.doc_id)):
+        assert r.mix_rows == ",".join(map(str, at.get(r.doc_id, []))) and r.taken == r.size * len(at.get(r.doc_id, []))
+        s, low, high = source[r.doc_id], 0.0, 1.0
+        share = before[s] / max(r.target, 1)
+        first = {0: 1.0, 1: 0.5, 2: 1.5}[sources.index(s) % 3]  # weights go from first to 2 - first over the time
+        for _ in range(60):  # when the demand, the integral of the weights, gets to the words before the document
+            middle = (low + high) / 2
+            low, high = (middle, high) if first * middle + (1 - first) * middle * middle < share else (low, middle)
+        assert r.position is None if not r.mix_rows else r.position == pytest.approx(low, abs=1e-9)
+        before[s] += r.size
+    assert any("," in r.mix_rows for r in rows) and any(not r.mix_rows for r in rows)
+
+
 def test_quality_and_language_on_held_out_rows(spark, sf):
     sf = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
