@@ -26,29 +26,55 @@ def weighted_centroid(a: Sequence[float], n: float, b: Sequence[float], m: float
     return [(x * n + y * m) / (n + m) for x, y in zip(a, b, strict=True)]
 
 
-def assigned(phrases: DataFrame, centres: Sequence[tuple[int, Sequence[float], float]]) -> DataFrame:
+#: Distances that a task holds at once, phrases times centres.
+CELLS = 1 << 21
+
+
+def _nearest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of distances the first of the least, rounded to 12 digits, and that; only what is next to the least is rounded."""
+    low = d.min(1)
+    row, column = np.nonzero(~(d > low[:, None] + 2e-12))
+    value = np.round(d[row, column], 12)
+    order = np.lexsort((column, value, row))
+    first = order[np.unique(row[order], return_index=True)[1]]
+    return column[first], value[first]
+
+
+def assigned(phrases: DataFrame, centres: Sequence[tuple[int, Sequence[float], float]], onward: Mapping[int, Sequence[int]] | None = None) -> DataFrame:
     """phrases (vector and more) with cluster and distance, that of the nearest of centres (id, vector, weight), the least id of equals.
 
-    Distance is 1 - cosine, times the centre's weight; a zero vector is 1 away from all. Centres are held by every task, and phrases
-    multiplied with them a block at a time; k and the length of vectors bound that.
+    Distance is 1 - cosine, times the centre's weight; a zero vector is 1 away from all. A phrase whose nearest centre is a key of onward
+    goes to the nearest of the centres listed there. Centres are held by every task, and phrases multiplied with them a
+    block of CELLS at a time; k and the length of vectors bound that.
     """
+    centres = sorted(centres, key=lambda c: c[0])
     ids = np.array([c[0] for c in centres], np.int64)
-    order = np.argsort(ids)
-    matrix = np.array([centres[i][1] for i in order], float).reshape(len(centres), -1)
+    matrix = np.array([c[1] for c in centres], float).reshape(len(centres), -1)
     size = np.linalg.norm(matrix, axis=1, keepdims=True)
-    held = phrases.sparkSession.sparkContext.broadcast((ids[order], matrix / np.where(size == 0, 1, size), np.array([centres[i][2] for i in order], float)))
+    # the few different lists of centres to go on to, by position, and which of them each centre has
+    at, lists, kinds = {c: i for i, c in enumerate(ids.tolist())}, {}, np.full(len(ids), -1)
+    for i, some in (onward or {}).items():
+        kinds[at[i]] = lists.setdefault(tuple(sorted(at[c] for c in some)), len(lists))
+    held = phrases.sparkSession.sparkContext.broadcast((ids, matrix / np.where(size == 0, 1, size), np.array([c[2] for c in centres], float), kinds, [np.array(x) for x in lists]))
 
     @F.pandas_udf("cluster long, distance double")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names, unit, weights = held.value
+        names, unit, weights, kinds, lists = held.value
+        rows = max(1, min(4096, CELLS // len(names)))
         for vectors in batches:
             out_id, out_d = [], []
-            for at in range(0, len(vectors), 4096):
-                x = np.stack([np.asarray(v, float) for v in vectors[at : at + 4096]])
+            for at in range(0, len(vectors), rows):
+                x = np.stack([np.asarray(v, float) for v in vectors[at : at + rows]])
                 n = np.linalg.norm(x, axis=1, keepdims=True)
-                d = np.round((1 - (x / np.where(n == 0, 1, n)) @ unit.T) * weights, 12)
-                out_id.append(names[d.argmin(1)])
-                out_d.append(d.min(1))
+                x = x / np.where(n == 0, 1, n)
+                best, d = _nearest((1 - x @ unit.T) * weights)
+                kind = kinds[best]
+                for j in np.unique(kind[kind >= 0]):
+                    some = kind == j
+                    again, d[some] = _nearest((1 - x[some] @ unit[lists[j]].T) * weights[lists[j]])
+                    best[some] = lists[j][again]
+                out_id.append(names[best])
+                out_d.append(d)
             yield pd.DataFrame({"cluster": np.concatenate(out_id) if out_id else [], "distance": np.concatenate(out_d) if out_d else []})
 
     return phrases.withColumn("_n", nearest("vector")).select(*phrases.columns, F.col("_n.cluster").alias("cluster"), F.col("_n.distance").alias("distance"))
@@ -81,7 +107,7 @@ def constrained_kmeans(phrases: DataFrame, k: int, min_rounds: int = 2, max_roun
     nearest first, one to a centre. A tagged phrase whose nearest centre has another tag, or one that it must not have,
     makes a centre of its own for this round, under a negative id, so that phrases like it leave the wrong one; these then go to the nearest centre with the
     tag, or without any. It ends when the mean distance no longer falls after min_rounds, or after max_rounds. Tagged phrases are
-    made by hand, so they are few; everything else is sums over all phrases.
+    made by hand, so the driver and each task hold them; a round multiplies all phrases with those that make a centre once. Everything else is sums over all phrases.
     """
     rows = phrases.withColumn("vector", V.dense("vector")).where("vector is not null")
     hand = rows.where("size(tags) > 0 or size(not_tags) > 0").select("phrase_id", "vector", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("not_tags", F.array().cast("array<string>")).alias("not_tags")).orderBy("phrase_id").collect()
@@ -101,9 +127,7 @@ def constrained_kmeans(phrases: DataFrame, k: int, min_rounds: int = 2, max_roun
     while True:
         tags = _dealt(by_tag, centres)
         forced = _forced(hand, centres, tags)
-        now = assigned(rows, [*((i, c, 1.0) for i, c in centres.items()), *((-1 - j, v, weight(n)) for j, (v, _, n) in enumerate(forced))])
-        if forced:
-            now = _returned(now, forced, centres, tags)
+        now = assigned(rows, [*((i, c, 1.0) for i, c in centres.items()), *((-1 - j, v, weight(n)) for j, (v, _, n) in enumerate(forced))], _onward(forced, centres, tags))
         before, out = out, written(now)
         if before is not None:
             dropped(before)
@@ -123,7 +147,8 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 def _dealt(by_tag: Mapping[str, list], centres: Mapping[int, Sequence[float]]) -> dict[int, set[str]]:
     """Each tag's centre: pairs are taken nearest first, a centre has one tag."""
-    pairs = sorted((round(1 - _cosine(np.mean(v, axis=0), np.array(c)), 12), t, i) for t, v in by_tag.items() for i, c in centres.items())
+    middle = {t: np.mean(v, axis=0) for t, v in by_tag.items()}
+    pairs = sorted((round(1 - _cosine(v, np.array(c)), 12), t, i) for t, v in middle.items() for i, c in centres.items())
     out: dict[int, set[str]] = {}
     placed: set[str] = set()
     for _, t, i in pairs:
@@ -136,23 +161,22 @@ def _dealt(by_tag: Mapping[str, list], centres: Mapping[int, Sequence[float]]) -
 def _forced(hand: Sequence, centres: Mapping[int, Sequence[float]], tags: Mapping[int, set[str]]) -> list[tuple[np.ndarray, set[str], int]]:
     """(vector, its tags, phrases with that vector) of tagged phrases whose nearest centre does not suit them."""
     found: dict[tuple, list] = {}
-    for r in hand:
-        v = np.array(r.vector)
-        near = min(centres, key=lambda i: (round(1 - _cosine(v, np.array(centres[i])), 12), i))
-        own = tags.get(near, set())
-        if r.tags and own and not own & set(r.tags) or own & set(r.not_tags):
-            found.setdefault(tuple(v), [v, set(r.tags), 0])[2] += 1
+    ids = sorted(centres)
+    matrix = np.array([centres[i] for i in ids], float)
+    unit = lambda m: m / np.where((size := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, size)
+    for at in range(0, len(hand), rows := max(1, CELLS // len(ids))):
+        some = hand[at : at + rows]
+        near, _ = _nearest(1 - unit(np.array([r.vector for r in some], float)) @ unit(matrix).T)
+        for r, i in zip(some, near, strict=True):
+            own = tags.get(ids[i], set())
+            if r.tags and own and not own & set(r.tags) or own & set(r.not_tags):
+                found.setdefault(tuple(r.vector), [np.array(r.vector), set(r.tags), 0])[2] += 1
     return [tuple(x) for _, x in sorted(found.items())]
 
 
-def _returned(now: DataFrame, forced: Sequence, centres: Mapping[int, Sequence[float]], tags: Mapping[int, set[str]]) -> DataFrame:
-    """Phrases of the centres made for this round go to the nearest lasting centre with their tag, else to the nearest without any, else to the nearest."""
-    columns = [c for c in now.columns if c not in ("cluster", "distance")]
-    out = now.where("cluster >= 0")
-    for j, (_, wanted, _) in enumerate(forced):
-        some = [i for i in centres if wanted & tags.get(i, set())] or [i for i in centres if not tags.get(i)] or list(centres)
-        out = out.unionByName(assigned(now.where(F.col("cluster") == -1 - j).select(*columns), [(i, centres[i], 1.0) for i in some]))
-    return out
+def _onward(forced: Sequence, centres: Mapping[int, Sequence[float]], tags: Mapping[int, set[str]]) -> dict[int, list[int]]:
+    """Where phrases of the centres made for this round go: to the nearest lasting centre with their tag, else to the nearest without any, else to the nearest."""
+    return {-1 - j: [i for i in centres if wanted & tags.get(i, set())] or [i for i in centres if not tags.get(i)] or list(centres) for j, (_, wanted, _) in enumerate(forced)}
 
 
 # --- hierarchy

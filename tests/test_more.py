@@ -148,6 +148,27 @@ def test_constrained_kmeans(spark):
     assert (q.phrases, q.tagged, q.kept, q.wrong) == (120, 2, 2, 0)
 
 
+def test_many_badly_tagged_phrases(spark):
+    """Centres made for a round are one step of a plan, however many, and give what one after the other gives."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist(), [f"t{i % 3}"] if i % 2 else [], []) for i in range(400)]
+    df = spark.createDataFrame(rows, "phrase_id int, vector array<double>, tags array<string>, not_tags array<string>")
+    centres = {i: rng.normal(size=4).tolist() for i in range(5)}
+    tags = {0: {"t0"}, 1: {"t1"}, 2: {"t2"}}
+    forced = C._forced(df.where("size(tags) > 0").orderBy("phrase_id").collect(), centres, tags)
+    assert len(forced) > 50
+    every = [*((i, c, 1.0) for i, c in centres.items()), *((-1 - j, v, C.weight(n)) for j, (v, _, n) in enumerate(forced))]
+    out = C.assigned(df, every, C._onward(forced, centres, tags))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    away = lambda v, c, w: round((1 - np.dot(v, c) / np.linalg.norm(v) / np.linalg.norm(c)) * w, 12)
+    for r in out.collect():
+        d, i = min((away(r.vector, c, w), i) for i, c, w in every)
+        if i < 0:
+            wanted = forced[-1 - i][1]
+            d, i = min((away(r.vector, centres[c], 1.0), c) for c in ([c for c in centres if wanted & tags.get(c, set())] or [3, 4]))
+        assert (r.cluster, r.distance) == (i, pytest.approx(d, abs=1e-11))
+
+
 def test_hierarchy():
     rng = np.random.default_rng(3)
     for n in range(1, 12):
