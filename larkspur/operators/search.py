@@ -1,14 +1,18 @@
-"""Text lookup joins: the best row of a table for a query by BM25, all in joins and sums."""
+"""Text lookup joins: the best row of a table for a query by BM25, in blocks of rows for queries that a task can hold, else in joins and sums."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from larkspur.functions import text as X
-from larkspur.plans.session import broadcast_if_small, written
+from larkspur.plans.session import broadcast_if_small, is_small, written
 
 K1, B = 1.2, 0.75
 #: What parts the words of a query. Fixed value.
@@ -100,6 +104,141 @@ def best_of(*found: DataFrame) -> DataFrame:
     return every.groupBy("q").agg(F.max_by(F.struct(*found[0].columns), F.struct("score", -F.col("_from"))).alias("b")).select("b.*")
 
 
+# --- the best rows in blocks: pairs of query and row are summed and ranked in a task's memory, none is shuffled or written
+
+#: Pairs of query and row, and what is added to them, that a task holds at once.
+CELLS = 1 << 20
+
+
+class Blocks:
+    """A table's rows as counts of the terms asked for: (_key, dl, ids, tfs, pop), written, with what BM25 knows of the table.
+
+    Each row is counted where it is read. `plain` is false where keys repeat or cannot be ordered here: such tables take joins.
+    """
+
+    def __init__(self, table: DataFrame, key: str, text: str, terms: DataFrame, acronyms: bool = False, whole: bool = False, popularity: str | None = None) -> None:
+        spark = table.sparkSession
+        self.terms = sorted(r[0] for r in terms.select("token").distinct().collect() if r[0])
+        held = spark.sparkContext.broadcast(self.terms)
+        words = F.array(F.lower(F.col(text))) if whole else acronym_tokens(text) if acronyms else X.tokens(text)
+        pop = F.lit(1.0) if popularity is None else F.col(popularity).cast("double")
+        rows = table.select(F.col(key).alias("_key"), pop.alias("pop"), words.alias("t")).where("size(t) > 0")
+        kind = rows.schema["_key"].dataType
+        self.plain = kind.typeName() in ("byte", "short", "integer", "long", "string", "date", "timestamp")
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pa.array(held.value, pa.string())
+            m = max(len(known), 1)
+            for batch in batches:
+                t = batch.column("t")
+                n = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = pc.fill_null(pc.index_in(t.flatten().cast(pa.string()), value_set=known), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(n)), n)
+                code, tf = np.unique((row * m + ids)[ids >= 0], return_counts=True)
+                at = pa.array(np.searchsorted(code // m, np.arange(len(n) + 1)).astype(np.int32))
+                lists = (pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (code % m, tf))
+                yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("pop"), pa.array(n), *lists], ["_key", "pop", "dl", "ids", "tfs"])
+
+        self.rows = written(rows.mapInArrow(counted, f"_key {kind.simpleString()}, pop double, dl long, ids array<int>, tfs array<int>"))
+        self.plain = self.plain and self.rows.groupBy("_key").count().where("count > 1").isEmpty()
+        if not self.plain:
+            return
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            df, n, dl = np.zeros(len(held.value), np.int64), 0, 0
+            for batch in batches:
+                df += np.bincount(batch.column("ids").flatten().to_numpy(), minlength=len(df))
+                n, dl = n + len(batch), dl + (pc.sum(batch.column("dl")).as_py() or 0)
+            some = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *some], pa.int64()), pa.array([n, dl, *df[some]], pa.int64())], ["i", "n"])
+
+        sums = {r.i: r.n for r in self.rows.select("ids", "dl").mapInArrow(summed, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+        self.n, self.mean = sums.get(-1, 0), sums.get(-2, 0) / max(sums.get(-1, 0), 1)
+        self.df = np.array([sums.get(i, 0) for i in range(len(self.terms))], float)
+
+    def best(self, asked: DataFrame, hits: int = 1, min_score: float = 0.0, digits: int = 6) -> DataFrame:
+        """(q, _key, score): as best() of scores(), of asked (q, token, boost), a small table."""
+        spark = self.rows.sparkSession
+        at = {t: i for i, t in enumerate(self.terms)}
+        got = [(r.q, at[r.token], r.boost) for r in asked.groupBy("q", "token").agg(F.sum("boost").cast("double").alias("boost")).where("boost is not null").collect() if r.token in at]
+        names = list(dict.fromkeys(g[0] for g in got))
+        place = {q: i for i, q in enumerate(names)}
+        got.sort(key=lambda g: g[1])
+        begin = np.searchsorted([g[1] for g in got], np.arange(len(self.terms) + 1))
+        idf = np.log(1 + (self.n - self.df + 0.5) / (self.df + 0.5))
+        held = spark.sparkContext.broadcast((names, begin, np.array([place[g[0]] for g in got], np.int64), np.array([g[2] for g in got], float), idf, self.mean))
+        kinds = {"q": asked.schema["q"].dataType.simpleString(), "_key": self.rows.schema["_key"].dataType.simpleString()}
+        q_type = to_arrow_type(asked.schema["q"].dataType)
+
+        def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, begin, query, boost, idf, mean = held.value
+            if not names:
+                return
+            wide = len(names)
+            for batch in batches:
+                batch = batch.take(pc.sort_indices(batch.column("_key"), null_placement="at_start"))  # of equals the first place has the least key
+                ids, tf = (batch.column(c).flatten().to_numpy() for c in ("ids", "tfs"))
+                n = pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False)
+                pop, dl = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("pop", "dl"))
+                row = np.repeat(np.arange(len(n)), n)
+                w = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / mean)) * pop[row]
+                many = begin[ids + 1] - begin[ids]
+                end = np.concatenate(([0], np.cumsum(n)))
+                cost = np.cumsum(np.add.reduceat(np.append(many, 0), np.minimum(end[:-1], len(many))) * (n > 0) + 1)
+                low = 0
+                while low < len(n):
+                    done = cost[low - 1] if low else 0
+                    high = max(low + 1, int(np.searchsorted(cost, done + CELLS, "right")))
+                    part = slice(end[low], end[high])
+                    times = many[part]
+                    which = np.repeat(begin[ids[part]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    pair = np.repeat(row[part] - low, times) * wide + query[which]
+                    add = np.repeat(w[part], times) * boost[which]
+                    if len(pair) * 8 > (high - low) * wide:  # most queries meet most rows
+                        score = np.bincount(pair, add, (high - low) * wide)
+                        met = np.zeros(len(score), bool)
+                        met[pair] = True
+                    else:
+                        code, back = np.unique(pair, return_inverse=True)
+                        score, met = np.bincount(back, add, len(code)), None
+                    if met is not None:
+                        code = np.flatnonzero(met)
+                        score = score[code]
+                    keep = score >= min_score
+                    code, score = code[keep], score[keep]
+                    at = _first(code % wide, code // wide, score, wide, hits, digits)
+                    keys = batch.column("_key").take(pa.array(code[at] // wide + low))
+                    q = pa.array([names[i] for i in code[at] % wide], q_type)
+                    yield pa.RecordBatch.from_arrays([q, keys, pa.array(score[at], pa.float64())], ["q", "_key", "score"])
+                    low = high
+
+        found = self.rows.mapInArrow(ranked, f"q {kinds['q']}, _key {kinds['_key']}, score double")
+        return best(found, min_score, digits=digits, hits=hits)
+
+
+def _first(q: np.ndarray, row: np.ndarray, score: np.ndarray, wide: int, hits: int, digits: int) -> np.ndarray:
+    """Places of the `hits` first pairs of each query by rounded score, falling, and row."""
+    near = np.arange(len(q))
+    if hits == 1:  # only what rounds to the greatest can be it
+        top = np.full(wide, -np.inf)
+        np.maximum.at(top, q, score)
+        near = np.flatnonzero(score >= top[q] - 2 * 10.0**-digits)
+    order = near[np.lexsort((row[near], -np.round(score[near], digits), q[near]))]
+    begin = np.searchsorted(q[order], np.arange(wide))
+    return order[np.arange(len(order)) - begin[q[order]] < hits]
+
+
+def best_rows(asked: DataFrame, table: DataFrame, key: str, text: str, hits: int = 1, min_score: float = 0.0) -> DataFrame:
+    """(q, _key, score): the best rows of a table for queries asked (q, token, boost). A query's pairs with rows stay in a task where a task can hold what is asked."""
+    asked = written(asked)
+    if is_small(asked):
+        blocks = Blocks(table, key, text, asked)
+        if blocks.plain:
+            return blocks.best(asked, hits, min_score)
+    only = written(asked.select("token").unionByName(asked.sparkSession.sql("select '' as token")).distinct())
+    return best(scores(asked, written(index(table, key, text, only=only))).select("q", "_key", "score"), min_score, hits=hits)
+
+
 # --- strategies: which tokens of a query count
 
 
@@ -221,16 +360,32 @@ def lookup(
     asked = written(asked)
 
     rows = where(right)
-    if postings is None:
-        only = None
-        if not max_edits:  # else terms that are near are wanted, too
-            only = written(asked.select("token").unionByName(left.sparkSession.sql("select '' as token")).distinct())
-        postings = index(rows, right_key, text, boost_acronyms, tokenize is None, only)
-    postings = written(postings)
+    made: dict[str, object] = {}
+
+    def blocks() -> Blocks | None:
+        if "blocks" not in made:
+            fits = postings is None and not max_edits and not equal and is_small(asked)
+            found = Blocks(rows, right_key, text, asked, boost_acronyms, tokenize is None, popularity) if fits else None
+            made["blocks"] = found if found and found.plain else None
+        return made["blocks"]
+
+    def stored() -> DataFrame:
+        if "index" not in made:
+            only = None
+            if postings is None and not max_edits:  # else terms that are near are wanted, too
+                only = written(asked.select("token").unionByName(left.sparkSession.sql("select '' as token")).distinct())
+            made["index"] = written(index(rows, right_key, text, boost_acronyms, tokenize is None, only) if postings is None else postings)
+        return made["index"]
+
     pop = rows.select(F.col(right_key).alias("_key"), F.col(popularity).alias("pop")) if popularity else None
 
     def search(some: DataFrame, window: int | None = None) -> DataFrame:
-        found = contributions(some, postings, max_edits, prefix_length)
+        if window is None and blocks():
+            top = written(blocks().best(some, 1, min_score))
+            words = left.sparkSession.createDataFrame(list(enumerate(blocks().terms)), "i int, token string")
+            met = blocks().rows.join(F.broadcast(top), "_key").select("q", "_key", "score", F.explode("ids").alias("i"))  # a row for each query at most
+            return spans(met.join(words, "i").join(some.select("q", "at", "token"), ["q", "token"]))
+        found = contributions(some, stored(), max_edits, prefix_length)
         if equal:
             own = rows.select(F.col(right_key).alias("_key"), *(F.col(c).alias(f"_own{i}") for i, c in enumerate(equal)))
             found = found.join(own, "_key")
@@ -243,7 +398,9 @@ def lookup(
             top = best(found.groupBy("q", "_key").agg(F.sum("s").alias("score")), min_score).withColumns({"start": F.lit(0), "stop": F.lit(2**31 - 1)})
         else:
             top = best_window(found, window, min_score)
-        met = found.join(top, ["q", "_key"]).where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("stop")))
+        return spans(found.join(top, ["q", "_key"]).where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("stop"))))
+
+    def spans(met: DataFrame) -> DataFrame:
         return met.groupBy(F.col("q").alias("_q"), "_key").agg(F.first("score").cast("float").alias("_score_"), F.array_sort(F.collect_set("token")).alias("_tags_"), F.min("at").alias("_startIndex_"), F.max("at").alias("_endIndex_"))
 
     top = run(asked, search, max_edits, **params)

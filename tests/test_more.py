@@ -122,6 +122,23 @@ def test_lookup_options(spark):
         by(strategy="none")
 
 
+def test_pairs_stay_in_a_task(spark, monkeypatch):
+    """Blocks of rows give the rows of the joins, repeated keys take joins, and no pair of query and row is joined else."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.5, 12) % 40) for _ in range(300)]
+    right = spark.createDataFrame([(f"k{i % 290:03}", t) for i, t in enumerate([*texts[:280], *texts[:10]])] + [("z", ""), ("y", None)], "k string, text string")
+    asked = spark.createDataFrame([(q, t, float(1 + q % 2)) for q in range(30) for t in set(texts[q].split())], "q int, token string, boost double")
+    by = lambda df: sorted((r.q, r._key, round(r.score, 6)) for r in df.collect())
+    for hits, least in ((1, 0.0), (3, 0.0), (3, 8.0)):
+        with monkeypatch.context() as m:
+            m.setattr(S, "CELLS", 512)
+            got = S.best_rows(asked, right, "k", "text", hits, least)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert by(got) == by(S.best(S.scores(asked, S.index(right, "k", "text")), least, hits=hits))
+    twice = right.union(right.limit(20))
+    assert by(S.best_rows(asked, twice, "k", "text")) == by(S.best(S.scores(asked, S.index(twice, "k", "text"))))
+
+
 def test_beam():
     rng = np.random.default_rng(1)
     for _ in range(20):
