@@ -49,6 +49,19 @@ def test_address_without_a_postcode(spark):
     assert (loose[3].number, loose[3].longitude) == (None, 2.0)
 
 
+def test_many_houses_of_a_street(spark):
+    """House numbers are met by equal keys: no row of an address carries those of its streets."""
+    rows = [(f"{i % 9}{x}", f"rue {s}", "10000", "i1", "Fontaine", float(i), float(-i)) for i in range(90) for x in ("", "bis", "ter") for s in ("haute", "basse") if i % 9 or s == "haute"]
+    _, streets, _ = G.address_indexes(spark.createDataFrame(rows, "number string, street string, postcode string, inseeCode string, locality_name string, lon double, lat double"))
+    asked = [(1, "5 rue haute"), (2, "5bis rue basse"), (3, "5 bas, rue basse"), (4, "5terr rue haute"), (5, "0 rue basse"), (6, "77 rue basse"), (7, "5 rue haute"), (8, "8TER rue haut"), (9, "4 avenue")]  # the last has no street
+    located = spark.createDataFrame([(i, a, 10000, "i1", "10000 Fontaine", None, "postcodeList") for i, a in asked], "id int, address string, postcode int, inseeCode string, locality string, localitySimilarity double, localityMatchedBy string")
+    out = G.in_street(located, streets)
+    assert "numbers" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: (r.number, r.street, r.longitude) for r in out.collect()}
+    assert got == {1: ("5", "rue haute", 5.0), 2: ("5bis", "rue basse", 5.0), 3: ("5", "rue basse", 5.0), 4: ("5ter", "rue haute", 5.0), 5: (None, "rue basse", 45.0), 6: (None, "rue basse", 45.0), 7: ("5", "rue haute", 5.0), 8: ("8ter", "rue haute", 8.0)}
+    assert {r.id: r.address for r in out.collect()}[7] == "5 rue haute"
+
+
 def test_store(spark, tmp_path):
     store, at = storage.Store(spark), str(tmp_path)
     with zipfile.ZipFile(buffer := io.BytesIO(), "w") as z:
