@@ -328,11 +328,18 @@ def read_tree(spark: SparkSession, path: str) -> list[dict]:
     return list(flattened(json.loads(row.value)))
 
 
+#: Folders that a task writes.
+FOLDERS = 100
+
+
 def write_phrases(phrases: DataFrame, path: str, chunk: int = 500, order: Sequence[str] = ("distance", "phrase_id")) -> None:
     """JSON lines in folders by cluster and chunk of about 500 phrases in order, and an index of the chunks."""
+    spark = phrases.sparkSession
     at = F.row_number().over(Window.partitionBy("cluster").orderBy(*order)) - 1
     dealt = written(phrases.withColumn("chunk", F.floor(at / chunk)).withColumn("_at", at))
-    dealt.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "_at").drop("_at").write.mode("overwrite").partitionBy("cluster", "chunk").json(f"{path}/phrases")
+    # a folder costs time however few bytes it has: tasks are dealt folders, and none are put together for being small
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt.select("cluster", "chunk").distinct().count() // FOLDERS)
+    dealt.repartition(tasks, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "_at").drop("_at").write.mode("overwrite").partitionBy("cluster", "chunk").json(f"{path}/phrases")
     dealt.groupBy("cluster", "chunk").agg(F.count("*").alias("phrases"), F.min("distance").alias("nearest"), F.max("distance").alias("farthest")).write.mode("overwrite").json(f"{path}/index")
     dropped(dealt)
 
