@@ -11,11 +11,19 @@ MEASURES = {"Sum": F.sum, "Count": F.count, "Distinct Count": F.countDistinct, "
 
 
 def read_dataset(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A JSON array of records, of it the columns asked for; those that it does not have are null."""
+    """JSON arrays of records, one to a file, of them the columns asked for; those that they do not have are null. A task reads a file, so large datasets have many, as write_dataset() makes them."""
     df = spark.read.option("multiLine", True).json(path)
     return df if columns is None else df.select(*(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
 
 
+def write_dataset(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """All records as JSON arrays of `most` at the most, each in a file of its own."""
+    dealt = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_r"), F.floor(F.monotonically_increasing_id() / most).alias("_file"))
+    arrays = dealt.groupBy("_file").agg(F.to_json(F.collect_list("_r")).alias("value")).select("value")
+    none = df.sparkSession.sql("select '[]' as value")  # for a dataset without records
+    arrays.unionByName(none).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def fields(df: DataFrame) -> list[dict]:
     """The fields of a model: name, type as reports know it, and the measure that they are summed up by."""
     kinds = {"string": "string", "boolean": "boolean", "date": "date", "timestamp": "date"}

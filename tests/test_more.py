@@ -4,13 +4,16 @@ import bz2
 import io
 import math
 import struct
+import tracemalloc
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import clustering as C, geo as G, relational as R, search as S, topics as T, tuning as U
+from larkspur.functions import text as X
+from larkspur.operators import bi as B, clustering as C, geo as G, relational as R, search as S, topics as T, tuning as U
 from larkspur.plans import session
 from larkspur.sources import storage
 
@@ -152,6 +155,36 @@ def test_pairs_stay_in_a_task(spark, monkeypatch):
     assert by(S.best_rows(asked, twice, "k", "text")) == by(S.best(S.scores(asked, S.index(twice, "k", "text"))))
 
 
+def test_runs_by_few_texts():
+    """What Python's objects take is bounded by a few texts, not by a batch's."""
+    texts = pa.array([*(f"{i} one. Two; three " * 100 for i in range(1000)), None, ""])
+    X.runs_of(texts[:1])
+    tracemalloc.start()
+    got = X.runs_of(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6  # 600,000 runs
+    assert got.null_count == 1 and got[-1].as_py() == [] and got[7].as_py()[:4] == [{"word": "7 ", "index": 0, "phrase": 0}, {"word": "one", "index": 1, "phrase": 0}, {"word": ". ", "index": 2, "phrase": 0}, {"word": "Two", "index": 3, "phrase": 1}]
+
+
+def test_dataset_in_files(spark, tmp_path):
+    rows = spark.range(1000).select("id", F.concat(F.lit("n"), "id").alias("a.b"))
+    B.write_dataset(rows, path := str(tmp_path / "d"), 90)
+    assert len([p for p in (tmp_path / "d").glob("part-*") if p.stat().st_size > 10]) > 10
+    assert sorted(B.read_dataset(spark, path, ["a.b", "id"]).collect()) == sorted((f"n{i}", i) for i in range(1000))
+    B.write_dataset(rows.limit(0), path := str(tmp_path / "none"))
+    assert B.read_dataset(spark, path, ["id"]).collect() == []
+
+
+def test_phrase_folders_are_spread(spark, tmp_path):
+    """Many small folders are written by many tasks, though they have few bytes."""
+    rows = spark.range(3000).select((F.col("id") % 2).alias("cluster"), F.col("id").alias("phrase_id"), F.lit(0.0).alias("distance"))
+    C.write_phrases(rows, path := str(tmp_path / "p"), 5)
+    writers = {f.name.split("-")[1] for f in (tmp_path / "p/phrases").glob("*/*/part-*")}
+    assert len(writers) >= 6
+    assert sorted(r.phrase_id for r in C.read_phrases(spark, path, 1, 2).collect()) == [21, 23, 25, 27, 29]
+
+
 def test_beam():
     rng = np.random.default_rng(1)
     for _ in range(20):
