@@ -19,26 +19,31 @@ K1, B = 1.2, 0.75
 QUERY_BREAK = r"[^\p{L}]+"
 
 
-def index(table: DataFrame, key: str, text: str, acronyms: bool = False, whole: bool = False, only: DataFrame | None = None) -> DataFrame:
+def index(table: DataFrame, key: str, text: str, acronyms: bool = False, whole: bool = False, only: DataFrame | None = None, merge: bool = True) -> DataFrame:
     """Postings (token, _key, tf, dl) of a table, and for each row with a token one of the token '' that has its dl.
 
     They can be written and read again, and united. whole takes each text as one token. only, written tokens, is what
-    postings are kept of: the table is read once, and no others are shuffled.
+    postings are kept of: the table is read once, and no others are shuffled. A text's tokens are counted where it is read; without merge
+    those of rows with one key and length are not added up, which write_index() does.
     """
     if whole:
         words = F.array(F.lower(F.col(text)))
     else:
         words = acronym_tokens(text) if acronyms else X.tokens(text)
     rows = table.select(F.col(key).alias("_key"), words.alias("t")).where("size(t) > 0")
-    rows = rows.select("_key", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token"))
+    rows = rows.select("_key", F.size("t").alias("dl"), F.array_sort("t").alias("t"))
+    ends = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == F.col("dl")) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.select("_key", "dl", "t", ends.alias("e"))
+    runs = F.transform("e", lambda e, i: F.struct(F.get("t", e - 1).alias("token"), (e - F.coalesce(F.get("e", i - 1), F.lit(0))).cast("long").alias("tf")))
+    rows = rows.select("_key", "dl", F.explode(F.concat(F.array(F.struct(F.lit("").alias("token"), F.lit(1).cast("long").alias("tf"))), runs)).alias("p")).select("p.token", "_key", "dl", "p.tf")
     if only is not None:
-        rows = rows.join(broadcast_if_small(only), "token")
-    return rows.groupBy("token", "_key", "dl").agg(F.count("*").alias("tf"))
+        rows = rows.join(broadcast_if_small(only), "token").select("token", "_key", "dl", "tf")
+    return rows.groupBy("token", "_key", "dl").agg(F.sum("tf").alias("tf")) if merge else rows
 
 
 def write_index(postings: DataFrame, path: str) -> None:
-    """Stores postings, those of a token together."""
-    postings.repartition("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+    """Stores postings, those of a token together; the shuffle by token is the only one that postings without merge take."""
+    postings.repartition("token").groupBy("token", "_key", "dl").agg(F.sum("tf").alias("tf")).sortWithinPartitions("token").write.mode("overwrite").parquet(path)
 
 
 def merged_index(*postings: DataFrame) -> DataFrame:

@@ -155,6 +155,17 @@ def test_pairs_stay_in_a_task(spark, monkeypatch):
     assert by(S.best_rows(asked, twice, "k", "text")) == by(S.best(S.scores(asked, S.index(twice, "k", "text"))))
 
 
+def test_index_takes_one_shuffle(spark, tmp_path):
+    """Tokens are counted in their row; rows of one key and length are added up when an index is stored."""
+    right = spark.createDataFrame([("a", "x y x"), ("a", "x x z"), ("b", "y"), ("c", ""), ("d", None)], "k string, text string")
+    counted = S.index(right, "k", "text", merge=False)
+    assert "Aggregate" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    S.write_index(counted, path := str(tmp_path / "i"))
+    want = {("", "a", 3, 2), ("x", "a", 3, 4), ("y", "a", 3, 1), ("z", "a", 3, 1), ("", "b", 1, 1), ("y", "b", 1, 1)}
+    for got in (spark.read.parquet(path), S.index(right, "k", "text")):
+        assert sorted((r.token, r._key, r.dl, r.tf) for r in got.collect()) == sorted(want)
+
+
 def test_runs_by_few_texts():
     """What Python's objects take is bounded by a few texts, not by a batch's."""
     texts = pa.array([*(f"{i} one. Two; three " * 100 for i in range(1000)), None, ""])
